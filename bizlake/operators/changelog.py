@@ -111,7 +111,7 @@ def deliveries(log: DataFrame, status: str = "DELIVERED") -> DataFrame:
     """Sale-item log rows that reach a status, with the sale named by the snapshot."""
     changes = unpack_changes(log_of(log, "SaleItem"), "status", ["sale_id"])
     return changes.where(F.col("value") == status).select(
-        F.col("item_id").cast("int").alias("sale_item_id"), "sale_id", "created_at"
+        F.col("item_id").cast("bigint").alias("sale_item_id"), "sale_id", "created_at"
     )
 
 
