@@ -24,7 +24,7 @@ register_roles(
             FROM shipping_orders o LEFT JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN pieces p ON p.oid = o.id
             WHERE o.status NOT IN ('canceled', 'draft') AND year({loc("o.created_at")}) IN (2024, 2025) AND s.deleted_at IS NULL)
         SELECT code, {loc_text("c", "%Y-%m-%d")} AS created_at, {loc_text("s", "%Y-%m-%d")} AS shipped_at,
-            total_kits_quantity, n AS "soma_quantidade_peças", month({loc("c")}) AS "mês_created_at",
+            total_kits_quantity, cast(n AS bigint) AS "soma_quantidade_peças", month({loc("c")}) AS "mês_created_at",
             year({loc("c")}) AS ano_created_at, month({loc("s")}) AS "mês_shipped_at", year({loc("s")}) AS ano_shipped_at,
             week({loc("c")}) AS num_semana_created_at FROM grain""",
     ),
@@ -63,7 +63,7 @@ register_roles(
             cast(shipment_price AS double) AS "Frete", recipient_city AS "Cidade", recipient_state AS "Estado",
             {loc_text("asked", "%d-%m-%Y")} AS "Data da Solicitação", {loc_text("due", "%d-%m-%Y")} AS "Data do Envio",
             {loc_text("due", "%m")} AS "Mês de Envio", {loc_text("due", "%Y")} AS "Ano de Envio", status AS "Status",
-            created_through AS "Meio de Solicitação", max(pieces) AS "Quantidade Total", shipment_category AS "Categoria de Envio",
+            created_through AS "Meio de Solicitação", cast(max(pieces) AS bigint) AS "Quantidade Total", shipment_category AS "Categoria de Envio",
             carrier AS "Transportadora", method AS "Método de Envio",
             cast(round(epoch_us(done_at - shipped_at) / 86400000000.0) AS int) AS "Tempo de Entrega em Dias"
         FROM wide GROUP BY code, due, status, firm, asked, title, recipient_name, recipient_zipcode, recipient_state, shipment_category,
@@ -124,7 +124,7 @@ register_roles(
             CASE WHEN late_o THEN 'sim' ELSE 'não' END AS "Atraso visão operação (sim/não)",
             g.days AS "Dias (uteis) entre criação do pedido e envio", month(made) AS "Mês de Criação", year(made) AS "Ano de Criação",
             month(sent) AS "Mês de Envio", year(sent) AS "Ano de Envio", week(made) AS num_semana_created_at, skus AS "# SKUs",
-            pieces AS soma_pecas,
+            cast(pieces AS bigint) AS soma_pecas,
             round(cast(kits AS double) * pieces / nullif(sum(pieces) OVER (PARTITION BY code), 0), 0) AS "Kits enviados",
             CASE WHEN worst.item_id IS NOT NULL THEN 'sim' ELSE 'não' END AS "Teve erro",
             worst.days AS "Tempo em erro (dias)", worst.hours AS "Tempo em erro (horas)"
@@ -204,7 +204,7 @@ register_roles(
             {loc_text("o.shipment_expected_to", "%Y-%m-%d")} AS "data_esperada_de_saída", {label_sql("o.status", L.QUEUE_STATUS)} AS status,
             c.name AS company_name, o.total_kits_quantity AS montagem, {label_sql("o.assembly_type", L.ASSEMBLY_TYPE, "desconhecido")} AS pedidos,
             coalesce(a.k, b.k, 0) AS total_skus, cast(coalesce(a.v, b.v, 0) AS double) AS total_valor_envio,
-            coalesce(a.q, b.q, 0) AS total_quantity,
+            cast(coalesce(a.q, b.q, 0) AS bigint) AS total_quantity,
             CASE WHEN o.shipment_expected_to < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 'Erro'
                  WHEN o.shipment_expected_to <= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 'BackLog' ELSE 'Demanda Futura' END AS tempo_de_processo
         FROM shipping_orders o LEFT JOIN a ON a.oid = o.id LEFT JOIN b ON b.oid = o.id LEFT JOIN companies c ON c.id = o.company_id
@@ -218,7 +218,7 @@ register_roles(
         "shipments shipping_services shipping_orders companies shipment_items customer_products products shipping_order_sales sales",
         f"""SELECT c.name AS "Empresa", cp.sku AS "SKU", {loc_text("s.shipped_at", "%d-%m-%Y")} AS "Data do Envio",
             {loc_text("o.created_at", "%d-%m-%Y")} AS "Data da Solicitação de Envio", {agg_text("coalesce(p.name, cp.name)")} AS "Nome Produtos",
-            sum(i.quantity) AS "Quantidade Total", {agg_text("v.company_name")} AS "Transportadoras", {agg_text("v.name")} AS "Métodos de Envio",
+            cast(sum(i.quantity) AS bigint) AS "Quantidade Total", {agg_text("v.company_name")} AS "Transportadoras", {agg_text("v.name")} AS "Métodos de Envio",
             {agg_text("o.code")} AS "Pedidos de Envio", s.status AS "Status do Envio", x.code AS "Código da Venda"
         FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id
         LEFT JOIN shipping_services v ON v.id = s.shipping_service_id LEFT JOIN companies c ON c.id = o.company_id
@@ -244,8 +244,8 @@ register_roles(
             cast(sum(cp.unit_price) AS double) AS "Preço", cast(s.shipment_price AS double) AS "Frete", s.recipient_city AS "Cidade",
             s.recipient_state AS "Estado", {loc_text("o.created_at", "%d-%m-%Y")} AS "Data da Solicitação",
             {loc_text("o.shipment_expected_to", "%d-%m-%Y")} AS "Data do Envio", s.status AS "Status", o.created_through AS "Meio de Solicitação",
-            sum(i.quantity) AS "Quantidade Total",
-            sum(CASE WHEN o.assembly_type IS NULL OR o.assembly_type = 'loose_items' THEN 0 ELSE i.quantity END) AS "Quantidade Manuseada",
+            cast(sum(i.quantity) AS bigint) AS "Quantidade Total",
+            cast(sum(CASE WHEN o.assembly_type IS NULL OR o.assembly_type = 'loose_items' THEN 0 ELSE i.quantity END) AS bigint) AS "Quantidade Manuseada",
             s.recipient_zipcode AS "Endereço", s.shipment_category AS "Categoria de Envio", v.company_name AS "Transportadora",
             v.name AS "Método de Envio", max(s.days_to_deliver) AS "Dias para Entrega", s.service_bill_id
         FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN who ON who.oid = o.id
@@ -275,7 +275,7 @@ register_roles(
             s.recipient_street AS "Logradouro", s.recipient_number AS "Número", s.recipient_complement AS "Complemento",
             s.recipient_neighborhood AS "Bairro", s.recipient_city AS "Cidade", s.recipient_state AS "Estado", s.recipient_email AS "E-mail do Destinatário",
             {agg_text("cp.sku")} AS "SKUs", {agg_text("p.name")} AS "Nome dos Produtos", {agg_text("s.shirt_size")} AS "Tamanhos de Camiseta",
-            {agg_text("k.name")} AS "Kit do Cliente", sum(i.quantity) AS "Quantidade Total de Itens",
+            {agg_text("k.name")} AS "Kit do Cliente", cast(sum(i.quantity) AS bigint) AS "Quantidade Total de Itens",
             cast(sum(cp.unit_price * i.quantity) AS double) AS "Custo dos Produtos", cast(s.shipment_price AS double) AS "Frete",
             {loc_text("o.shipment_expected_to", "%d-%m-%Y")} AS "Data do Envio", s.status AS "Status", s.shipment_category AS "Categoria de Envio",
             v.company_name AS "Transportadora", v.name AS "Método de Envio", max(s.days_to_deliver) AS "Dias para Entrega",
