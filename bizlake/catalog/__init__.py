@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reports_shipping", "reports_sales", "domain")
+MODULES = ("reports_shipping", "reports_sales", "domain", "primitives")
 
 
 def load():

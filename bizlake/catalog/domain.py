@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bizlake.catalog.registry import agg_text, label_sql, loc, over, read, register, register_roles
 from bizlake.catalog.reports_sales import ACTIVE, DELIVERED, EMPLOYEES, FACTOR, FIRST, dbl, quarter_text
 from bizlake.catalog.reports_shipping import (
-    AS_OF, HOURS_DAYS, SLA_DAYS, V1_CASE, V1_SQL, V2_CASE, V2_SQL, _rounded, pairs_sql,
+    AS_OF, HOURS_DAYS, SLA_DAYS, V1_CASE, V1_SQL, V2_CASE, V2_SQL, rounded, pairs_sql,
 )
 from bizlake.functions import labels as L
 from bizlake.functions.changes import current_value
@@ -293,7 +293,7 @@ def _episodes(t):
     ),
 )
 def _lead(t):
-    return _rounded(status.stage_lead_time(_item_events(t), "item"), "working_hours")
+    return rounded(status.stage_lead_time(_item_events(t), "item"), "working_hours")
 
 
 @register_roles(
@@ -307,7 +307,7 @@ def _lead(t):
     ),
 )
 def _span(t):
-    return _rounded(status.stage_span(_item_events(t), "item"), "working_hours")
+    return rounded(status.stage_span(_item_events(t), "item"), "working_hours")
 
 
 @register_roles(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bizlake.catalog.registry import agg_text, label_sql, loc, loc_text, over, register_roles
-from bizlake.catalog.reports_shipping import AS_OF, HOURS_DAYS, V1_CASE, V1_SQL, _rounded, pairs_sql
+from bizlake.catalog.reports_shipping import AS_OF, HOURS_DAYS, V1_CASE, V1_SQL, rounded, pairs_sql
 from bizlake.functions import labels as L
 from bizlake.operators.status import END_STATUSES, START_STATUSES
 from bizlake.plans import cohorts, customers, products, receipts, sales
@@ -210,7 +210,7 @@ register_roles(
             CASE WHEN r = 1 THEN round(lead_h, 5) END AS tempo_uteis_producao
         FROM kept""",
     ),
-)(lambda t: _rounded(sales.sale_item_status_times(t), "avg_hours_between_status", "tempo_uteis_producao"))
+)(lambda t: rounded(sales.sale_item_status_times(t), "avg_hours_between_status", "tempo_uteis_producao"))
 
 register_roles(
     "r_art_control",
@@ -244,7 +244,7 @@ register_roles(
                     lambda d: isodow(d) < 6 AND d::date NOT IN ({HOURS_DAYS}))) END, 5) AS "Tempo até Primeira Arte"
         FROM h""",
     ),
-)(lambda t: _rounded(sales.art_control(t), "Tempo até Primeira Arte"))
+)(lambda t: rounded(sales.art_control(t), "Tempo até Primeira Arte"))
 
 register_roles(
     "r_items_without_sku",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from bizlake.catalog.registry import agg_text, label_sql, loc, loc_text, over, register_roles
 from bizlake.functions import labels as L
 from bizlake.operators.calendar import HOURS_HOLIDAYS, SLA_HOLIDAYS
@@ -150,6 +152,10 @@ V1_CASE = """CASE WHEN gap = 0 THEN CASE WHEN cast(a AS time) <= TIME '18:00:00'
     WHEN gap > 1 THEN CASE WHEN cast(a AS time) <= TIME '18:00:00' THEN 6 ELSE 5 END END"""
 
 
+def rounded(df, *columns, digits=5):
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+
+
 def pairs_sql(source: str, carry: str = "") -> str:
     """Two-step pairing: pair every event with the next, then compare with the pair before."""
     extra = f", {carry}" if carry else ""
@@ -178,13 +184,7 @@ register_roles(
             round(avg({V2_SQL}), 5) AS avg_hours_between_status
         FROM change GROUP BY s1, s2, a, b, gap""",
     ),
-)(lambda t: _rounded(shipping.shipping_status_times(t), "avg_hours_between_status"))
-
-
-def _rounded(df, *columns, digits=5):
-    from pyspark.sql import functions as F
-
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+)(lambda t: rounded(shipping.shipping_status_times(t), "avg_hours_between_status"))
 
 
 register_roles(
