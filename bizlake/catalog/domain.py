@@ -12,7 +12,6 @@ from bizlake.catalog.reports_shipping import (
     AS_OF, HOURS_DAYS, SLA_DAYS, V1_CASE, V1_SQL, V2_CASE, V2_SQL, rounded, pairs_sql,
 )
 from bizlake.functions import labels as L
-from bizlake.functions.changes import current_value
 from bizlake.functions.text import matching_descriptions
 from bizlake.functions.time import day, local_ts, quarter_label, week_label
 from bizlake.operators import calendar as C
@@ -20,20 +19,20 @@ from bizlake.operators import changelog as G
 from bizlake.operators import cohort as K
 from bizlake.operators import hours as H
 from bizlake.operators import keys, orders, pricing, repurchase, status, stock, usage
+from bizlake.operators.skew import hot_hashes
 from bizlake.plans.common import pick
 
 WORK = f"""work AS (
     SELECT cast(d AS date) AS d, row_number() OVER (ORDER BY d) AS k FROM range(TIMESTAMP '2023-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) r(d)
     WHERE isodow(d) < 6 AND cast(d AS date) NOT IN ({SLA_DAYS}))"""
 ITEM_EVENTS = f"""ev AS (
-    SELECT cast(item_id AS bigint) AS k, {loc("created_at")} AS "at", coalesce(object_changes::json->'status'->>1, object::json->>'status') AS st
+    SELECT item_id AS k, {loc("created_at")} AS "at", coalesce(object_changes::json->'status'->>1, object::json->>'status') AS st
     FROM versions WHERE item_type = 'SaleItem')"""
 
 
 def _item_events(t):
-    return G.log_of(t.versions, "SaleItem").select(
-        F.col("item_id").cast("bigint").alias("item"), local_ts("created_at").alias("at"),
-        current_value("object_changes", "object", "status").alias("status"),
+    return G.unpack_changes(G.log_of(t.versions, "SaleItem"), "status").select(
+        F.col("item_id").alias("item"), local_ts("created_at").alias("at"), F.col("value").alias("status")
     )
 
 
@@ -293,7 +292,8 @@ def _episodes(t):
     ),
 )
 def _lead(t):
-    return rounded(status.stage_lead_time(_item_events(t), "item"), "working_hours")
+    hot = hot_hashes(G.log_of(t.versions, "SaleItem").select(F.col("item_id").alias("item")), ["item"])
+    return rounded(status.stage_lead_time(_item_events(t), "item", hot=hot), "working_hours")
 
 
 @register_roles(

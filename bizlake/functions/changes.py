@@ -1,4 +1,9 @@
-"""Reading the JSON columns of a change log."""
+"""Reading the JSON columns of a change log.
+
+Parsing is the dear part, so the helpers come in two kinds: ``may_hold`` is a plain
+text test that skips rows before they are parsed, and ``change_pair`` parses once per
+use and should be put in a column when several of its elements are needed.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +13,30 @@ from pyspark.sql import functions as F
 from bizlake.functions.time import col
 
 
+def may_hold(text: str | Column, word: str) -> Column:
+    """The JSON text contains ``"word"``, as a key or as a value; a superset of any exact test."""
+    return col(text).contains(f'"{word}"')
+
+
 def change_pair(changes: str | Column, field: str) -> Column:
     """``[old, new]`` of one field as an array of text; JSON null becomes NULL."""
     return F.from_json(col(changes), f"struct<`{field}`:array<string>>")[field]
 
 
-def old_value(changes: str | Column, field: str) -> Column:
-    return F.get(change_pair(changes, field), F.lit(0))
+def old_of(pair: str | Column) -> Column:
+    return F.get(col(pair), F.lit(0))
 
 
-def new_value(changes: str | Column, field: str) -> Column:
-    return F.get(change_pair(changes, field), F.lit(1))
+def new_of(pair: str | Column) -> Column:
+    return F.get(col(pair), F.lit(1))
 
 
-def last_value(changes: str | Column, field: str) -> Column:
-    return F.try_element_at(change_pair(changes, field), F.lit(-1))
+def last_of(pair: str | Column) -> Column:
+    return F.try_element_at(col(pair), F.lit(-1))
+
+
+def new_value(changes: str | Column, field: str) -> Column:
+    return new_of(change_pair(changes, field))
 
 
 def snapshot_value(snapshot: str | Column, field: str) -> Column:
@@ -31,8 +45,3 @@ def snapshot_value(snapshot: str | Column, field: str) -> Column:
 
 def has_key(changes: str | Column, field: str) -> Column:
     return F.array_contains(F.json_object_keys(col(changes)), field)
-
-
-def current_value(changes: str | Column, snapshot: str | Column, field: str) -> Column:
-    """The new value of a field; the snapshot's value when the change does not hold it."""
-    return F.coalesce(new_value(changes, field), snapshot_value(snapshot, field))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -107,19 +108,15 @@ NO_PLAN = "Sem Plano"
 def map_labels(c: str | Column, labels: Mapping[str, str], default: str | None = None) -> Column:
     """Label of a code; an unknown code is kept, or becomes ``default`` when given."""
     value = col(c)
-    chain = F
-    for code, label in labels.items():
-        chain = chain.when(value == code, F.lit(label))
-    return chain.otherwise(value if default is None else F.lit(default))
+    # One literal map: the text is parsed once, when the plan is optimised.
+    table = F.from_json(F.lit(json.dumps(labels)), "map<string,string>")
+    return F.coalesce(F.try_element_at(table, value), value if default is None else F.lit(default))
 
 
 def priority(c: str | Column, codes: Sequence[str]) -> Column:
     """1-based position of a code in a list, one past the end for the others."""
-    value = col(c)
-    chain = F
-    for position, code in enumerate(codes, start=1):
-        chain = chain.when(value == code, F.lit(position))
-    return chain.otherwise(F.lit(len(codes) + 1))
+    table = F.from_json(F.lit(json.dumps({code: i for i, code in enumerate(codes, start=1)})), "map<string,int>")
+    return F.coalesce(F.try_element_at(table, col(c)), F.lit(len(codes) + 1))
 
 
 def band_label(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +38,43 @@ SLA_END = date(2025, 12, 31)
 MAX_CALENDAR_DAYS = 73_050
 
 
+def _weekday_holidays(holidays: Sequence[date]) -> list[date]:
+    return sorted({h for h in holidays if h.weekday() < 5})
+
+
 def business_index(d: str | Column, holidays: Sequence[date]) -> Column:
     """Running number of business days up to and including ``d``.
 
-    Weekdays come from a closed formula and the short holiday list from comparisons,
-    so a difference of two indexes counts business days with no join and no limit on
-    the date range.
+    Weekdays come from a closed formula; closing days from a short literal array with
+    one running count per day of the holiday list's span. A difference of two indexes
+    counts business days with no join, at any date.
     """
     c = day(d)
     n = F.datediff(c, F.lit(WEEK_MONDAY)) + 1
     index = F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
-    for h in sorted(set(holidays)):
-        if h.weekday() < 5:
-            index = index - F.when(c >= F.lit(h), 1).otherwise(0)
+    closed = _weekday_holidays(holidays)
+    if closed:
+        span = (closed[-1] - closed[0]).days + 1
+        if span > MAX_CALENDAR_DAYS:
+            raise ValueError("holiday list spans too many years")
+        counts, seen = [0], set(closed)
+        for offset in range(span):
+            counts.append(counts[-1] + (closed[0] + timedelta(days=offset) in seen))
+        first = (closed[0] - WEEK_MONDAY).days
+        at = F.least(F.greatest(n - first, F.lit(0)), F.lit(span))
+        # The text is parsed once, when the plan is optimised.
+        index = index - F.get(F.from_json(F.lit(str(counts)), "array<int>"), at)
     return index.cast("int")
 
 
+def _index_of(d: date, holidays: Sequence[date]) -> int:
+    """The same number for one known day."""
+    n = (d - WEEK_MONDAY).days + 1
+    return n // 7 * 5 + min(n % 7, 5) - sum(h <= d for h in _weekday_holidays(holidays))
+
+
 def is_business_day(d: str | Column, holidays: Sequence[date]) -> Column:
-    c = day(d)
-    return (F.weekday(c) < 5) & ~c.isin([F.lit(h) for h in sorted(set(holidays))])
+    return business_index(d, holidays) > business_index(F.date_sub(day(d), 1), holidays)
 
 
 def business_days_between(
@@ -70,13 +88,13 @@ def business_days_between(
 
     ``start`` and ``end`` limit the calendar: days outside it never count.
     """
-    lo, hi = day(a), day(b)
-    if start is not None:
-        lo = F.when(lo < F.lit(start), F.lit(start)).otherwise(lo)
+    upto, before = business_index(b, holidays), business_index(F.date_sub(day(a), 1), holidays)
     if end is not None:
-        hi = F.when(hi > F.lit(end), F.lit(end)).otherwise(hi)
-    count = business_index(hi, holidays) - business_index(F.date_sub(lo, 1), holidays)
-    return F.when(hi >= lo, count).otherwise(F.lit(0))
+        upto = F.least(upto, F.lit(_index_of(end, holidays)))
+    if start is not None:
+        before = F.greatest(before, F.lit(_index_of(start - timedelta(days=1), holidays)))
+    known = day(a).isNotNull() & day(b).isNotNull()
+    return F.when(known, F.greatest(upto - before, F.lit(0))).otherwise(F.lit(0))
 
 
 def business_calendar(
@@ -88,12 +106,9 @@ def business_calendar(
     days = spark.range((end - start).days + 1).select(
         F.date_add(F.lit(start), F.col("id").cast("int")).alias("day")
     )
-    before = business_index(F.date_sub(F.lit(start), 1), holidays)
-    return days.select(
-        "day",
-        is_business_day("day", holidays).alias("is_bd"),
-        (business_index("day", holidays) - before).cast("int").alias("bd_idx"),
-    )
+    before = _index_of(start - timedelta(days=1), holidays)
+    indexed = days.select("day", (business_index("day", holidays) - before).alias("bd_idx"))
+    return indexed.select("day", is_business_day("day", holidays).alias("is_bd"), "bd_idx")
 
 
 def _lookup(df: DataFrame, idx: Column, out: str, holidays, start: date, end: date) -> DataFrame:
@@ -106,7 +121,9 @@ def _lookup(df: DataFrame, idx: Column, out: str, holidays, start: date, end: da
 
 
 def _relative(d: Column, holidays, start: date) -> Column:
-    return business_index(d, holidays) - business_index(F.date_sub(F.lit(start), 1), holidays)
+    """Index of ``d`` counted from the calendar's first day; 0 before it."""
+    before = _index_of(start - timedelta(days=1), holidays)
+    return F.greatest(business_index(d, holidays) - before, F.lit(0))
 
 
 def next_business_day(
@@ -118,9 +135,8 @@ def next_business_day(
     end: date = SLA_END,
 ) -> DataFrame:
     """First business day on or after a date; NULL past the calendar's end."""
-    before = F.date_sub(day(c), 1)
-    first = F.when(before < F.lit(start), F.lit(1)).otherwise(_relative(before, holidays, start) + 1)
-    return _lookup(df, F.when(day(c).isNotNull(), first), out, holidays, start, end)
+    idx = _relative(F.date_sub(day(c), 1), holidays, start) + 1
+    return _lookup(df, F.when(day(c).isNotNull(), idx), out, holidays, start, end)
 
 
 def sla_due_date(
@@ -139,11 +155,11 @@ def sla_due_date(
     no business day on or before that date, or when it ends too early.
     """
     late = second_of_day(created) >= cutoff_hour * 3600
-    d = F.date_add(day(created), F.when(late, 1).otherwise(0))
-    d = F.when(d > F.lit(end), F.lit(end)).otherwise(d)
-    base = _relative(d, holidays, start)
-    idx = F.when((d >= F.lit(start)) & (base >= 1), base + col(n_days))
-    return _lookup(df, idx, out, holidays, start, end)
+    df = df.withColumn("_from", F.date_add(day(created), F.when(late, 1).otherwise(0)))
+    last = _index_of(end, holidays) - _index_of(start - timedelta(days=1), holidays)
+    base = F.nullif(F.least(_relative(F.col("_from"), holidays, start), F.lit(last)), F.lit(0))
+    idx = F.when(F.col("_from") >= F.lit(start), base + col(n_days))
+    return _lookup(df, idx, out, holidays, start, end).drop("_from")
 
 
 def plan_sla_days(plan: str | Column, kind: str | Column) -> Column:

@@ -7,9 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlake.functions.changes import current_value, has_key, last_value, new_value, old_value, snapshot_value
+from bizlake.functions.changes import (
+    change_pair, has_key, last_of, may_hold, new_of, new_value, old_of, snapshot_value,
+)
 from bizlake.functions.time import fmt, local_ts
 from bizlake.operators.ordered import next_match
+from bizlake.operators.skew import hot_hashes
 
 
 def log_of(log: DataFrame, *item_types: str) -> DataFrame:
@@ -18,16 +21,28 @@ def log_of(log: DataFrame, *item_types: str) -> DataFrame:
 
 
 def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Sequence[str] = ()) -> DataFrame:
-    """One row per log row: old, new and last value of a field, and chosen snapshot fields."""
-    return log.select(
+    """One row per log row: old, new and last value of a field, and chosen snapshot fields.
+
+    ``value`` is the new value, or the snapshot's when the change does not hold the
+    field. Each JSON text is parsed once.
+    """
+    wanted = list(dict.fromkeys([field, *snapshot_fields]))
+    parsed = log.select(
         "item_id",
         "created_at",
         "event",
-        old_value("object_changes", field).alias("old_value"),
-        new_value("object_changes", field).alias("new_value"),
-        last_value("object_changes", field).alias("last_value"),
-        current_value("object_changes", "object", field).alias("value"),
-        *[snapshot_value("object", f).alias(f) for f in snapshot_fields],
+        change_pair("object_changes", field).alias("_pair"),
+        F.from_json("object", f"struct<{', '.join(f'`{f}`:string' for f in wanted)}>").alias("_snapshot"),
+    )
+    return parsed.select(
+        "item_id",
+        "created_at",
+        "event",
+        old_of("_pair").alias("old_value"),
+        new_of("_pair").alias("new_value"),
+        last_of("_pair").alias("last_value"),
+        F.coalesce(new_of("_pair"), F.col(f"_snapshot.{field}")).alias("value"),
+        *[F.col(f"_snapshot.{f}").alias(f) for f in snapshot_fields],
     )
 
 
@@ -39,30 +54,47 @@ def first_transition(
     if event is not None:
         rows = rows.where(F.col("event") == event)
     return (
-        rows.where(new_value("object_changes", field) == value)
+        rows.where(may_hold("object_changes", value) & (new_value("object_changes", field) == value))
         .groupBy("item_id")
         .agg(F.min("created_at").alias("reached_at"))
     )
 
 
-def first_promise(log: DataFrame, field: str = "shipment_expected_to") -> DataFrame:
-    """Smallest promised value (as text) an update ever set for each entity."""
-    rows = log.where((F.col("event") == "update") & has_key("object_changes", field))
+def first_promise(
+    log: DataFrame, item_type: str | None = "Shipment", field: str = "shipment_expected_to"
+) -> DataFrame:
+    """Smallest promised value (as text) an update ever set for each entity.
+
+    ``item_type`` None reads every entity type; identifiers that are unique over all
+    types give the same result, at the cost of reading the whole log.
+    """
+    rows = log if item_type is None else log_of(log, item_type)
+    rows = rows.where((F.col("event") == "update") & may_hold("object_changes", field) & has_key("object_changes", field))
     return rows.groupBy("item_id").agg(F.min(new_value("object_changes", field)).alias("first_promise"))
 
 
 def error_episodes(
-    log: DataFrame, item_type: str = "ShippingOrder", field: str = "status", value: str = "error", **spread
+    log: DataFrame,
+    item_type: str = "ShippingOrder",
+    field: str = "status",
+    value: str = "error",
+    hot: Sequence[int] | None = None,
+    **spread,
 ) -> DataFrame:
     """Every entry into ``value`` with its earliest later exit; entries never left are dropped."""
-    rows = log_of(log, item_type).select(
+    # The plain text test runs before any parsing and also thins the hot-key search.
+    logged = log_of(log, item_type).where(may_hold("object_changes", value))
+    rows = logged.select(
+        "item_id", F.col("created_at").alias("entered_at"), change_pair("object_changes", field).alias("_pair")
+    ).select(
         "item_id",
-        F.col("created_at").alias("entered_at"),
-        (F.coalesce(last_value("object_changes", field) == value, F.lit(False))).alias("enters"),
-        (F.coalesce(old_value("object_changes", field) == value, F.lit(False))).alias("leaves"),
+        "entered_at",
+        F.coalesce(last_of("_pair") == value, F.lit(False)).alias("enters"),
+        F.coalesce(old_of("_pair") == value, F.lit(False)).alias("leaves"),
     )
+    hot = hot_hashes(logged, ["item_id"]) if hot is None else hot
     rows = rows.where(F.col("enters") | F.col("leaves"))
-    paired = next_match(rows, ["item_id"], "entered_at", F.col("leaves"), "left_at", **spread)
+    paired = next_match(rows, ["item_id"], "entered_at", F.col("leaves"), "left_at", hot=hot, **spread)
     seconds = F.timestamp_diff("MICROSECOND", "entered_at", "left_at").cast("decimal(28,6)")
     return (
         paired.where(F.col("enters") & F.col("left_at").isNotNull())
@@ -109,7 +141,8 @@ def first_seen(
 
 def deliveries(log: DataFrame, status: str = "DELIVERED") -> DataFrame:
     """Sale-item log rows that reach a status, with the sale named by the snapshot."""
-    changes = unpack_changes(log_of(log, "SaleItem"), "status", ["sale_id"])
+    rows = log_of(log, "SaleItem").where(may_hold("object_changes", status) | may_hold("object", status))
+    changes = unpack_changes(rows, "status", ["sale_id"])
     return changes.where(F.col("value") == status).select(
         F.col("item_id").cast("bigint").alias("sale_item_id"), "sale_id", "created_at"
     )

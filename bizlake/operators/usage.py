@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlake.functions.changes import last_value, old_value
+from bizlake.functions.changes import change_pair, last_of, may_hold, old_of
 from bizlake.functions.time import month_start, week_start
 from bizlake.operators.changelog import log_of
 
@@ -20,9 +20,12 @@ def active_usage(log: DataFrame, since: str | None = "2025-05-01", field: str =
     if since is not None:
         # Also as a plain range on the stored column, so file statistics can prune.
         rows = rows.where(F.col("created_at") >= F.date_sub(F.lit(since).cast("date"), 7).cast("timestamp_ntz"))
-    rows = rows.where(
-        old_value("object_changes", field).isNotNull() & last_value("object_changes", field).isNull()
-    ).select("item_id", month_start("created_at").alias("month"), week_start("created_at").alias("week"))
+    pairs = rows.where(may_hold("object_changes", field)).select(
+        "item_id", "created_at", change_pair("object_changes", field).alias("_pair")
+    )
+    rows = pairs.where(old_of("_pair").isNotNull() & last_of("_pair").isNull()).select(
+        "item_id", month_start("created_at").alias("month"), week_start("created_at").alias("week")
+    )
     if since is not None:
         rows = rows.where(F.col("week") >= F.lit(since).cast("date"))
     return (

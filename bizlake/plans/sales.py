@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlake.functions import labels as L
-from bizlake.functions.changes import current_value
 from bizlake.functions.text import concat_skip_null, string_agg_distinct
 from bizlake.functions.time import day, fmt, in_zone_range, local_ts, ts_lit
-from bizlake.operators.changelog import has_text, log_of
+from bizlake.operators.changelog import has_text, log_of, unpack_changes
 from bizlake.operators.cohort import ACTIVE_STATUSES
 from bizlake.operators.hours import business_hours, business_hours_case, first_response_hours
 from bizlake.operators.keys import latest_per_key
@@ -447,15 +446,12 @@ def sale_item_status_times(
     within the order.
     """
     log = log_of(t.versions, "SaleItem").where(F.col("created_at") >= ts_lit(log_since))
-    snapshot = F.from_json(F.col("object"), "struct<sale_id:string>")["sale_id"]
-    events = log.select(
-        F.col("item_id").cast("bigint").alias("sale_item_id"),
-        local_ts("created_at").alias("at"),
-        current_value("object_changes", "object", "status").alias("status"),
-        snapshot.alias("sale_ref"),
+    events = unpack_changes(log, "status", ["sale_id"]).select(
+        "item_id", local_ts("created_at").alias("at"), F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
     ).where(has_text(F.col("status")))
-    changes = status_pairs(events, "sale_item_id").withColumns(
+    changes = status_pairs(events, "item_id", hot=hot_hashes(log, ["item_id"])).withColumns(
         {
+            "sale_item_id": F.col("item_id").cast("bigint"),
             # The leading apostrophe keeps spreadsheets from reading a date.
             "event_month_year": F.concat(F.lit("'"), fmt("previous_at", "yyyy-MM")),
             "case": business_hours_case("previous_at", "current_at"),
@@ -494,7 +490,7 @@ def sale_item_status_times(
         )
     )
     suppliers = item_costs(t).select("sale_item_id", "supplier_name")
-    spans = stage_span(events, "sale_item_id").select("sale_item_id", "working_hours")
+    spans = stage_span(events, "item_id").select(F.col("item_id").cast("bigint").alias("sale_item_id"), "working_hours")
     rows = (
         changes.join(heads.join(firms, "company_id", "left"), "sale_id")
         .join(lines, "sale_item_id", "left")

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlake.functions import labels as L
-from bizlake.functions.changes import current_value
 from bizlake.functions.text import concat_skip_null, matching_descriptions, string_agg_distinct
 from bizlake.functions.time import as_of_ts, day, elapsed_days, fmt, in_zone_range, local_ts, ts_lit
 from bizlake.operators.calendar import (
     SLA_END, SLA_HOLIDAYS, SLA_START, business_days_between, next_business_day, plan_sla_days, sla_due_date,
 )
-from bizlake.operators.changelog import error_episodes, first_promise, first_transition, has_text, log_of
+from bizlake.operators.changelog import error_episodes, first_promise, first_transition, has_text, log_of, unpack_changes
 from bizlake.operators.cohort import company_plans
 from bizlake.operators.hours import clock_hours, clock_hours_case
 from bizlake.operators.orders import late_for_client, late_for_operation, share_of_total
@@ -279,11 +278,11 @@ def shipping_status_times(
         F.col("id").cast("string").alias("item_id"), "code"
     )
     log = t.versions if item_type is None else log_of(t.versions, item_type)
-    events = log.select(
-        "item_id", F.col("created_at").alias("at"), current_value("object_changes", "object", "status").alias("status")
+    events = unpack_changes(log, "status").select(
+        "item_id", F.col("created_at").alias("at"), F.col("value").alias("status")
     ).where(has_text(F.col("status")))
     # Orders meet the log on the key the pairs need anyway, so one shuffle serves both.
-    changes = status_pairs(events.join(orders, "item_id"), "item_id", hot=hot_hashes(events, ["item_id"]))
+    changes = status_pairs(events.join(orders, "item_id"), "item_id", hot=hot_hashes(log, ["item_id"]))
     changes = changes.withColumns(
         {
             "event_month_year": fmt("previous_at", "yyyy-MM"),

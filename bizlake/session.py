@@ -12,7 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column costs several gateway calls per column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
