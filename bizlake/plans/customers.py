@@ -11,6 +11,7 @@ from bizlake.functions import labels as L
 from bizlake.operators.cohort import cohort_first
 from bizlake.operators.keys import first_per_key, latest_purchase, latest_subscription
 from bizlake.operators.orders import customer_revenue
+from bizlake.operators.skew import with_missing
 from bizlake.operators.stock import (
     SHIPPED_CATEGORIES, alive, company_stock, monthly_consumption, moved_quantity, stock_origin, stock_quantity,
     stock_turnover,
@@ -159,7 +160,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
             | (F.coalesce("size_amount", F.lit(0)) > 0)
             | (F.coalesce("shipped", F.lit(0)) > 0)
         )
-        .join(per_sale, "customer_product_id", "left")
+        .join(with_missing(per_sale, t.customer_products.select(F.col("id").alias("customer_product_id")), ["customer_product_id"]), "customer_product_id")
         .join(origins, "customer_product_id", "left")
         .join(placed, "customer_product_id", "left")
         .join(moved_all, "customer_product_id", "left")

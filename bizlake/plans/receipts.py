@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlake.functions import labels as L
 from bizlake.functions.time import day, in_zone_range, local_ts, ts_lit
+from bizlake.operators.skew import with_missing
 from bizlake.operators.stock import RECEIPT_MOVES, receipt_qty
 from bizlake.plans.common import DMY_SLASH, HOUSE, articles, down, item_costs, local_text, pick, plan_rows, up
 from bizlake.sources.tables import Tables
@@ -112,7 +113,7 @@ def receipt_quality_base(t: Tables, since: str = "2024-09-01") -> DataFrame:
         F.month(day("created_at")).alias("month"), F.year(day("created_at")).alias("year"),
     )
     unique = (
-        items.join(moved, "sale_item_id", "left")
+        with_missing(moved, items, ["sale_item_id"]).join(items, "sale_item_id")
         .join(goods, "customer_product_id", "left")
         .drop("customer_product_id")
         .distinct()

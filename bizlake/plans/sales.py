@@ -17,7 +17,7 @@ from bizlake.operators.keys import latest_per_key
 from bizlake.operators.orders import last_delivery, status_date
 from bizlake.operators.pricing import alloc_factor, band_lookup
 from bizlake.operators.repurchase import repurchase
-from bizlake.operators.skew import hot_hashes
+from bizlake.operators.skew import hot_hashes, with_missing
 from bizlake.operators.status import stage_span, status_pairs
 from bizlake.plans.common import (
     ADMIN_URL, DMY_SLASH, YMD, admins_as, articles, down, item_costs, local_text, pick, plan_rows,
@@ -78,15 +78,16 @@ def sales_margin(t: Tables, since: str = "2025-01-01", zone_mode: str = "utc_to_
         .join(started, "sale_id", "left")
         .join(delivered, "sale_id", "left")
     )
-    lines = _items(t).where(F.col("item_status") != "CANCELED").join(products_of(t), "product_id", "left")
+    # The filtered orders come first, so every later join is over the kept lines only.
+    lines = _items(t).where(F.col("item_status") != "CANCELED").join(heads, "sale_id")
+    lines = lines.join(products_of(t), "product_id", "left")
     priced = band_lookup(
         lines.withColumnRenamed("product_id", "_p").withColumn("product_id", F.when(F.col("sku").isNotNull(), F.col("_p"))),
         t.pricing_ranges.withColumnRenamed("product_cost", "_cost").withColumn("product_cost", _float("_cost")),
     ).withColumnRenamed("product_cost", "band_cost")
     designs = t.sale_item_design_infos.withColumnRenamed("filled", "art_filled")
     rows = (
-        priced.join(heads, "sale_id")
-        .join(item_costs(t).withColumnRenamed("filled", "cost_filled"), "sale_item_id", "left")
+        priced.join(item_costs(t).withColumnRenamed("filled", "cost_filled"), "sale_item_id", "left")
         .join(designs, "sale_item_id", "left")
         .join(_latest_receipts(t), "sale_item_id", "left")
     )
@@ -218,14 +219,11 @@ def repurchases(t: Tables, min_days: int = 30) -> DataFrame:
         base, ["company_id", "sku"], "bought_on", ["code", "product_name", "category_name", "amount", "spent"], min_days
     )
     firms = pick(t.companies, id="company_id", name="company_name")
-    plans = plan_rows(t.subscriptions, t.plans)
-    counts = plans.groupBy("company_id").agg(F.count("*").alias("subs"), F.collect_list("plan_name").alias("names"))
-    firms = firms.join(counts, "company_id", "left").withColumns(
-        {"subs": F.coalesce("subs", F.lit(1)), "names": F.coalesce("names", F.array(F.lit(L.NO_PLAN)))}
-    )
-    rows = pairs.join(firms, "company_id")
-    rows = rows.withColumn("plan_name", F.explode("names"))
-    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("subs").cast("int"))))
+    plans = with_missing(plan_rows(t.subscriptions, t.plans), firms, ["company_id"]).withColumn(
+        "plan_name", F.coalesce("plan_name", F.lit(L.NO_PLAN))
+    )
+    # Once for the subscriptions of the earlier purchase, once for those of the later.
+    rows = pairs.join(firms, "company_id").join(plans.select("company_id"), "company_id").join(plans, "company_id")
     return rows.select(
         "sku",
         F.col("first_product_name").alias("nome_produto"),
@@ -258,13 +256,15 @@ def purchase_governance(t: Tables, zone_mode: str = "utc_to_local") -> DataFrame
     )
     heads = _people(_heads(sales).join(firms, "company_id"), t).join(started, "sale_id", "left")
     lines = _items(t).where(~F.col("item_status").isin("CANCELED", "DELIVERED"))
-    moves = t.inventory_moves.select("sale_item_id", *[F.col(c).alias(f"m_{c}") for c in MOVE_COLUMNS])
+    moves = t.inventory_moves.where(F.col("sale_item_id").isNotNull()).select(
+        "sale_item_id", *[F.col(c).alias(f"m_{c}") for c in MOVE_COLUMNS]
+    )
     rows = (
         lines.join(heads, "sale_id")
         .join(item_costs(t).withColumnRenamed("filled", "cost_filled"), "sale_item_id", "left")
         .join(t.sale_item_design_infos.withColumnRenamed("filled", "art_filled"), "sale_item_id", "left")
         .join(products_of(t), "product_id", "left")
-        .join(moves, "sale_item_id", "left")
+        .join(with_missing(moves, lines, ["sale_item_id"]), "sale_item_id")
     )
 
     def on(c: str) -> Column:
@@ -361,17 +361,20 @@ def sales_ledger(
         .join(quotes, "_quote", "left")
         .join(trips, "_trip", "left")
     )
-    images = t.sale_item_images.groupBy("sale_item_id").agg(F.count("*").alias("images"))
+    ids = sales.select(F.col("id").alias("sale_id"))
+    items = _items(t).select("sale_item_id", "sale_id", "product_id", "item_status", "final_price", "amount")
+    items = items.join(ids, "sale_id", "left_semi")
+    # Once per image, and once for items without one; the same for sales without items.
+    copies = with_missing(t.sale_item_images, items, ["sale_item_id"])
     lines = (
-        _items(t).select("sale_item_id", "sale_id", "product_id", "item_status", "final_price", "amount")
+        copies.join(items, "sale_item_id")
         .join(products_of(t), "product_id", "left")
         .join(item_costs(t), "sale_item_id", "left")
         .join(t.sale_item_design_infos.select("sale_item_id"), "sale_item_id", "left")
-        .join(images, "sale_item_id", "left")
     )
-    rows = heads.join(lines, "sale_id", "left")
-    # Once per image: the copies come from the image count, not from a wider join.
-    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col("images"), F.lit(1)).cast("int"))))
+    known = items.select("sale_id").distinct()
+    empty = ids.join(known, "sale_id", "left_anti")
+    rows = lines.unionByName(empty, allowMissingColumns=True).join(heads, "sale_id")
     made = F.col("exceeding_quantity") + F.col("purchased_quantity")
 
     def money(c: Column) -> Column:

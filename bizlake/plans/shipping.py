@@ -17,7 +17,7 @@ from bizlake.operators.changelog import error_episodes, first_promise, first_tra
 from bizlake.operators.cohort import company_plans
 from bizlake.operators.hours import clock_hours, clock_hours_case
 from bizlake.operators.orders import late_for_client, late_for_operation, share_of_total
-from bizlake.operators.skew import hot_hashes
+from bizlake.operators.skew import hot_hashes, with_missing
 from bizlake.operators.status import status_pairs
 from bizlake.operators.stock import (
     SHIPPED_CATEGORIES, alive, measure_fallback, order_measures, shipment_measures, shipped_quantity,
@@ -74,8 +74,9 @@ def shipments_base(
         F.col("id").alias("shipping_order_id"), "code", "created_at", "total_kits_quantity"
     )
     pieces = shipped_quantity(alive(t.shipments), t.shipment_items).withColumnRenamed("quantity", "pieces")
-    trips = t.shipments.select("shipping_order_id", "shipped_at", "deleted_at")
-    rows = orders.join(trips, "shipping_order_id", "left").where(F.col("deleted_at").isNull())
+    trips = t.shipments.select("shipping_order_id", "shipped_at", "deleted_at").distinct()
+    rows = with_missing(trips, orders, ["shipping_order_id"]).where(F.col("deleted_at").isNull())
+    rows = rows.join(orders, "shipping_order_id")
     rows = rows.join(pieces, "shipping_order_id", "left")
     grain = rows.select("code", "created_at", "shipped_at", "total_kits_quantity", "pieces").distinct()
     return grain.select(
@@ -114,13 +115,13 @@ def shipments_detail(t: Tables, since: str = "2025-01-01") -> DataFrame:
     sent = _sent(t).withColumn("_log_id", F.col("shipment_id").cast("string"))
     totals = t.shipment_items.groupBy("shipment_id").agg(F.sum("quantity").alias("pieces"))
     goods = articles(t).select("customer_product_id", "cp_sku", "cp_name", "p_name", "unit_price")
-    items = t.shipment_items.select("shipment_id", "customer_product_id").join(goods, "customer_product_id", "left")
+    lines = with_missing(t.shipment_items.select("shipment_id", "customer_product_id"), _sent(t), ["shipment_id"])
     rows = (
-        sent.join(heads, "shipping_order_id")
+        lines.join(sent.join(heads, "shipping_order_id"), "shipment_id")
+        .join(goods, "customer_product_id", "left")
         .join(arrived, "_log_id", "left")
         .join(totals, "shipment_id", "left")
         .join(_services(t), "shipping_service_id", "left")
-        .join(items, "shipment_id", "left")
     )
     weight = F.coalesce("kit_rows", F.lit(1))
     grain = [
@@ -355,12 +356,12 @@ def shipments_finance(t: Tables, since: str = "2025-01-01", zone_mode: str = "ut
         "shipment_id", "shipping_order_id", "shipping_service_id", "shipped_at", "status"
     )
     rows = (
-        sent.join(orders, "shipping_order_id")
-        .join(t.shipment_items, "shipment_id", "left")
+        with_missing(t.shipment_items, sent, ["shipment_id"])
+        .join(sent.join(orders, "shipping_order_id"), "shipment_id")
         .join(goods, "customer_product_id", "left")
         .join(_services(t), "shipping_service_id", "left")
         .join(_companies(t), "company_id", "left")
-        .join(linked, "shipping_order_id", "left")
+        .join(with_missing(linked, orders, ["shipping_order_id"]), "shipping_order_id")
     )
     grain = ["company_name", "cp_sku", "shipped_at", "created_at", "status", "sale_code"]
     grouped = rows.groupBy(*grain).agg(
@@ -396,10 +397,12 @@ def orders_vs_finance(t: Tables, since: str = "2024-01-01", zone_mode: str = "ut
     goods = articles(t).select(
         "customer_product_id", "cp_sku", F.coalesce("p_name", "cp_name").alias("name"), "unit_price"
     )
+    sent = _sent(t)
     rows = (
-        _sent(t).join(heads, "shipping_order_id")
+        with_missing(t.shipment_items, sent, ["shipment_id"])
+        .join(sent.join(heads, "shipping_order_id"), "shipment_id")
+        .join(goods, "customer_product_id", "left")
         .join(_services(t), "shipping_service_id", "left")
-        .join(t.shipment_items.join(goods, "customer_product_id", "left"), "shipment_id", "left")
     )
     handled = F.when(F.col("assembly_type") != "loose_items", F.col("quantity")).otherwise(F.lit(0))
     grain = [

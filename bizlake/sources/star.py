@@ -21,9 +21,22 @@ SECOND = "INTERVAL '1' SECOND"
 HOUR = "INTERVAL '1' HOUR"
 DAY = "INTERVAL '1' DAY"
 LINE = "l_orderkey * 8 + l_linenumber"
-BY_LINE = "FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+# One row per order and line number. Flags are compared as numbers, so that the
+# aggregation keeps fixed-width buffers, and turned back into letters outside.
+_FLAG = "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+_STATE = "CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END"
+BY_LINE = f"""FROM (
+        SELECT l_orderkey, l_linenumber, part, own_part, supp_lo, supp_hi, qty, qty_lo, qty_hi, price_lo, price_hi, disc_hi, tax_hi, ship,
+            CASE f1 WHEN 1 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END AS flag_lo, CASE f2 WHEN 1 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END AS flag_hi,
+            CASE s1 WHEN 1 THEN 'F' ELSE 'O' END AS line_lo, CASE s2 WHEN 1 THEN 'F' ELSE 'O' END AS line_hi
+        FROM (
+            SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(CASE WHEN l_returnflag <> 'N' THEN l_partkey END) AS own_part,
+                min(l_suppkey) AS supp_lo, max(l_suppkey) AS supp_hi, cast(sum(l_quantity) AS int) AS qty, cast(min(l_quantity) AS int) AS qty_lo,
+                cast(max(l_quantity) AS int) AS qty_hi, min(l_extendedprice) AS price_lo, max(l_extendedprice) AS price_hi, max(l_discount) AS disc_hi,
+                max(l_tax) AS tax_hi, min(l_shipdate) AS ship, min({_FLAG}) AS f1, max({_FLAG}) AS f2, min({_STATE}) AS s1, max({_STATE}) AS s2
+            FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) a) b"""
 ORDERED = f"o_orderdate + {LATER} + (o_custkey * 7919 % 86400) * {SECOND}"
-SHIPPED = f"min(l_shipdate) + {LATER} + (min(l_partkey) * 37 % 86400) * {SECOND}"
+SHIPPED = f"ship + {LATER} + (part * 37 % 86400) * {SECOND}"
 LINE_AT = f"l_shipdate + {LATER} + (l_partkey * 37 % 86400) * {SECOND}"
 PLAN_ID = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 END"
 MONEY = "decimal(18,2)"
@@ -109,29 +122,29 @@ ROLE_SQL: dict[str, str] = {
         o_orderstatus = 'O' AS redeem_page, o_orderstatus = 'P' AS sample,
         cast(floor(o_totalprice / 10000) AS int) AS sold_kits_amount,
         cast(o_orderkey AS string) AS omie_order_number FROM {{orders}}""",
-    "sale_items": f"""SELECT {LINE} AS id, l_orderkey AS sale_id, min(l_partkey) AS product_id,
-        min(CASE WHEN l_returnflag <> 'N' THEN l_partkey END) AS customer_product_id,
-        cast(sum(l_quantity) AS int) AS amount, cast(max(l_extendedprice) AS {MONEY}) AS product_price,
-        cast(min(l_extendedprice) AS {MONEY}) AS base_price, cast(min(l_extendedprice) AS {MONEY}) AS final_price,
-        CASE min(l_returnflag) WHEN 'A' THEN 'PERCENTAGE' WHEN 'N' THEN 'VALUE' ELSE 'NONE' END AS price_modifier_type,
-        cast(max(l_discount) AS {MONEY}) * 100 AS price_modifier_value,
-        'https://example.org/' || cast(min(l_suppkey) AS string) AS product_supplier_link,
+    "sale_items": f"""SELECT {LINE} AS id, l_orderkey AS sale_id, part AS product_id,
+        own_part AS customer_product_id,
+        qty AS amount, cast(price_hi AS {MONEY}) AS product_price,
+        cast(price_lo AS {MONEY}) AS base_price, cast(price_lo AS {MONEY}) AS final_price,
+        CASE flag_lo WHEN 'A' THEN 'PERCENTAGE' WHEN 'N' THEN 'VALUE' ELSE 'NONE' END AS price_modifier_type,
+        cast(disc_hi AS {MONEY}) * 100 AS price_modifier_value,
+        'https://example.org/' || cast(supp_lo AS string) AS product_supplier_link,
         l_linenumber AS personalization_areas_amount, l_linenumber + 1 AS personalization_colors_amount,
-        {_pick("min(l_returnflag) || min(l_linestatus)", ("AF", "'DELIVERED'"), ("AO", "'TO_PRODUCE'"),
+        {_pick("flag_lo || line_lo", ("AF", "'DELIVERED'"), ("AO", "'TO_PRODUCE'"),
                ("NF", "'IN_PRODUCTION'"), ("NO", "'QUALITY'"), ("RF", "'WAITING'"), other="'CANCELED'")} AS status,
         {SHIPPED} AS created_at {BY_LINE}""",
-    "sale_item_production_infos": f"""SELECT {LINE} AS sale_item_id, cast(sum(l_quantity) AS int) AS purchased_quantity,
-        CASE WHEN min(l_returnflag) <> 'R' THEN cast(min(l_quantity) AS int) END AS exceeding_quantity,
-        cast(min(l_quantity) AS {MONEY}) AS unit_cost, cast(max(l_tax) AS {MONEY}) AS customize_cost,
-        min(l_suppkey) AS product_supplier_id,
-        CASE WHEN min(l_returnflag) <> 'N' THEN max(l_suppkey) END AS product_customizer_id,
-        min(l_shipdate) + {LATER} - 9 * {DAY} AS purchase_date, min(l_shipdate) + {LATER} - 5 * {DAY} AS customizer_arrival_date,
-        CASE WHEN min(l_linestatus) = 'F' THEN min(l_shipdate) + {LATER} END AS arrival_forecast_date,
-        min(l_linestatus) = 'F' AS filled, min(l_suppkey) AS buyer_id,
-        cast(min(l_suppkey) AS string) AS omie_order_code {BY_LINE}""",
-    "sale_item_design_infos": f"""SELECT {LINE} AS sale_item_id, min(l_returnflag) = 'A' AS filled,
-        CASE min(l_returnflag) WHEN 'A' THEN 'laser' ELSE 'silk' END AS customization_type,
-        min(l_linestatus) AS customization_colors, max(l_returnflag) AS art_size {BY_LINE}""",
+    "sale_item_production_infos": f"""SELECT {LINE} AS sale_item_id, qty AS purchased_quantity,
+        CASE WHEN flag_lo <> 'R' THEN qty_lo END AS exceeding_quantity,
+        cast(qty_lo AS {MONEY}) AS unit_cost, cast(tax_hi AS {MONEY}) AS customize_cost,
+        supp_lo AS product_supplier_id,
+        CASE WHEN flag_lo <> 'N' THEN supp_hi END AS product_customizer_id,
+        ship + {LATER} - 9 * {DAY} AS purchase_date, ship + {LATER} - 5 * {DAY} AS customizer_arrival_date,
+        CASE WHEN line_lo = 'F' THEN ship + {LATER} END AS arrival_forecast_date,
+        line_lo = 'F' AS filled, supp_lo AS buyer_id,
+        cast(supp_lo AS string) AS omie_order_code {BY_LINE}""",
+    "sale_item_design_infos": f"""SELECT {LINE} AS sale_item_id, flag_lo = 'A' AS filled,
+        CASE flag_lo WHEN 'A' THEN 'laser' ELSE 'silk' END AS customization_type,
+        line_lo AS customization_colors, flag_hi AS art_size {BY_LINE}""",
     "sale_item_images": f"SELECT {LINE} AS sale_item_id FROM {{lineitem}}",
     "sale_status_edits": f"""SELECT o_orderkey AS sale_id, 'TO_PRODUCE' AS new_status, {ORDERED} + 2 * {DAY} AS created_at FROM {{orders}}
         UNION ALL SELECT o_orderkey, 'PRODUCING', {ORDERED} + 5 * {DAY} FROM {{orders}}
@@ -189,8 +202,8 @@ ROLE_SQL: dict[str, str] = {
         o_orderpriority AS additional_value_description, cast(o_custkey % 30 AS {MONEY}) AS discount_value,
         o_orderstatus AS discount_description, cast(o_custkey % 20 AS {MONEY}) AS budget_per_kit,
         o_orderstatus = 'F' AS turbo, {ORDERED} AS created_at FROM {{orders}}""",
-    "quote_items": f"""SELECT {LINE} AS id, l_orderkey AS quote_id, min(l_partkey) AS product_id,
-        cast(sum(l_quantity) AS int) AS amount, cast(min(l_extendedprice) AS {MONEY}) AS final_price,
+    "quote_items": f"""SELECT {LINE} AS id, l_orderkey AS quote_id, part AS product_id,
+        qty AS amount, cast(price_lo AS {MONEY}) AS final_price,
         {SHIPPED} AS created_at {BY_LINE}""",
     "customer_products": f"""SELECT p_partkey AS id, c_custkey AS company_id,
         CASE WHEN p_type <> 'SMALL' THEN p_partkey END AS product_id, p_size AS sizes_grid_id,
@@ -205,20 +218,20 @@ ROLE_SQL: dict[str, str] = {
     "customer_products_inventory_addresses": "SELECT p_partkey AS customer_product_id FROM {part} WHERE p_size > 25",
     "sizes_grids": "SELECT DISTINCT p_size AS id FROM {part}",
     "inventory_moves": f"""SELECT {LINE} AS id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 8 + 1 END AS parent_id,
-        min(l_partkey) AS customer_product_id,
-        CASE WHEN min(l_returnflag) <> 'N' THEN min(l_partkey) * 2 END AS variant_id,
+        part AS customer_product_id,
+        CASE WHEN flag_lo <> 'N' THEN part * 2 END AS variant_id,
         l_orderkey * 8 + CASE WHEN l_linenumber > 4 THEN l_linenumber - 3 ELSE l_linenumber END AS sale_item_id,
-        {_pick("min(l_returnflag) || max(l_linestatus)", ("AF", "'RECEIPT'"), ("AO", "'RECEIPT'"), ("NF", "'customer_input'"),
+        {_pick("flag_lo || line_hi", ("AF", "'RECEIPT'"), ("AO", "'RECEIPT'"), ("NF", "'customer_input'"),
                ("NO", "'customer_input'"), ("RF", "'picking'"), other="'manual_input'")} AS operation_type,
-        CASE WHEN min(l_linestatus) = 'F' THEN 'COMPLETED' WHEN max(l_tax) < 0.02 THEN 'TO_CHECK'
-             WHEN max(l_tax) < 0.04 THEN 'TO_PROCESS' WHEN max(l_tax) < 0.06 THEN 'FAILURE' ELSE 'CANCELED' END AS status,
-        'R' || cast(l_orderkey AS string) AS reference_code, min(l_returnflag) AS notes,
-        CASE WHEN max(l_discount) < 0.08 THEN cast(sum(l_quantity) AS int) END AS quantity,
-        cast(max(l_quantity) AS int) AS expected_quantity, l_linenumber AS scrap_quantity,
-        cast(min(l_quantity) AS int) AS exceeding_quantity,
-        CASE WHEN min(l_linestatus) = 'F' THEN {SHIPPED} + 2 * {DAY} END AS arrived_at,
-        min(l_shipdate) + {LATER} + 4 * {DAY} AS estimated_arrival_date,
-        date_trunc('year', min(l_shipdate)) + {LATER} AS created_at, {SHIPPED} + 3 * {DAY} AS updated_at {BY_LINE}""",
+        CASE WHEN line_lo = 'F' THEN 'COMPLETED' WHEN tax_hi < 0.02 THEN 'TO_CHECK'
+             WHEN tax_hi < 0.04 THEN 'TO_PROCESS' WHEN tax_hi < 0.06 THEN 'FAILURE' ELSE 'CANCELED' END AS status,
+        'R' || cast(l_orderkey AS string) AS reference_code, flag_lo AS notes,
+        CASE WHEN disc_hi < 0.08 THEN qty END AS quantity,
+        qty_hi AS expected_quantity, l_linenumber AS scrap_quantity,
+        qty_lo AS exceeding_quantity,
+        CASE WHEN line_lo = 'F' THEN {SHIPPED} + 2 * {DAY} END AS arrived_at,
+        ship + {LATER} + 4 * {DAY} AS estimated_arrival_date,
+        date_trunc('year', ship) + {LATER} AS created_at, {SHIPPED} + 3 * {DAY} AS updated_at {BY_LINE}""",
     "loss_reports": f"""SELECT {LINE} AS inventory_move_id,
         CASE l_linenumber WHEN 1 THEN 'kNEADED' WHEN 2 THEN 'RISKS' WHEN 3 THEN 'DEFECTIVE_ART' WHEN 4 THEN 'NO_ART'
              ELSE 'OTHER' END AS reason,
@@ -241,25 +254,25 @@ ROLE_SQL: dict[str, str] = {
         UNION ALL SELECT o_orderkey, 5 FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
     "customer_kits": """SELECT DISTINCT length(o_orderpriority) AS id,
         'Kit ' || cast(length(o_orderpriority) AS string) AS name FROM {orders}""",
-    "shipments": f"""SELECT {LINE} AS id, l_orderkey AS shipping_order_id, min(l_suppkey) AS shipping_service_id,
-        {_pick("min(l_returnflag) || min(l_linestatus)", ("AF", "'PACKAGE_RETURNED'"), ("AO", "'DEVIATION'"),
+    "shipments": f"""SELECT {LINE} AS id, l_orderkey AS shipping_order_id, supp_lo AS shipping_service_id,
+        {_pick("flag_lo || line_lo", ("AF", "'PACKAGE_RETURNED'"), ("AO", "'DEVIATION'"),
                ("NF", "'DELIVERED'"), other="'SHIPPED'")} AS status,
-        {_pick("max(l_returnflag)", ("A", "'SHIPPING'"), ("N", "'DEVOLUTION_RESEND'"), other="CASE WHEN l_linenumber > 5 THEN 'WITHDRAWAL' ELSE 'SHIPPING' END")} AS shipment_category,
-        'Name ' || cast(min(l_suppkey) AS string) AS recipient_name, 'D' || cast(min(l_partkey) AS string) AS recipient_document_number,
-        'Z' || cast(min(l_suppkey) AS string) AS recipient_zipcode, 'Street' AS recipient_street,
-        cast(l_linenumber AS string) AS recipient_number, max(l_linestatus) AS recipient_complement,
-        min(l_linestatus) AS recipient_neighborhood, 'City ' || max(l_returnflag) AS recipient_city,
-        min(l_returnflag) AS recipient_state, 'r' || cast(min(l_suppkey) AS string) || '@example.org' AS recipient_email,
+        {_pick("flag_hi", ("A", "'SHIPPING'"), ("N", "'DEVOLUTION_RESEND'"), other="CASE WHEN l_linenumber > 5 THEN 'WITHDRAWAL' ELSE 'SHIPPING' END")} AS shipment_category,
+        'Name ' || cast(supp_lo AS string) AS recipient_name, 'D' || cast(part AS string) AS recipient_document_number,
+        'Z' || cast(supp_lo AS string) AS recipient_zipcode, 'Street' AS recipient_street,
+        cast(l_linenumber AS string) AS recipient_number, line_hi AS recipient_complement,
+        line_lo AS recipient_neighborhood, 'City ' || flag_hi AS recipient_city,
+        flag_lo AS recipient_state, 'r' || cast(supp_lo AS string) || '@example.org' AS recipient_email,
         'T' || cast({LINE} AS string) AS tracking_code,
-        CASE WHEN l_linenumber > 2 THEN CASE WHEN min(l_returnflag) = 'A' THEN 'M' ELSE 'G' END END AS shirt_size,
-        CASE WHEN min(l_linestatus) = 'F' THEN 'B' || cast(l_orderkey AS string) END AS service_bill_id,
-        cast(max(l_extendedprice) AS {MONEY}) AS declared_value, cast(max(l_quantity) AS {MONEY}) AS shipment_price,
-        cast(min(l_quantity) AS {MONEY}) AS shipment_cost, l_linenumber + 2 AS days_to_deliver,
-        CASE WHEN min(l_returnflag) = 'A' THEN '[{{{{"description":"OBJETO NÃO ENTREGUE - ' || min(l_linestatus) || '"}}}},{{{{"description":"postado"}}}},{{{{"description":"Objeto não entregue"}}}},{{{{"description":null}}}}]'
-             WHEN min(l_returnflag) = 'N' THEN '[]' END AS tracking_events,
-        CASE WHEN min(l_returnflag) <> 'R' OR min(l_linestatus) = 'F' THEN {SHIPPED} END AS shipped_at,
+        CASE WHEN l_linenumber > 2 THEN CASE WHEN flag_lo = 'A' THEN 'M' ELSE 'G' END END AS shirt_size,
+        CASE WHEN line_lo = 'F' THEN 'B' || cast(l_orderkey AS string) END AS service_bill_id,
+        cast(price_hi AS {MONEY}) AS declared_value, cast(qty_hi AS {MONEY}) AS shipment_price,
+        cast(qty_lo AS {MONEY}) AS shipment_cost, l_linenumber + 2 AS days_to_deliver,
+        CASE WHEN flag_lo = 'A' THEN '[{{{{"description":"OBJETO NÃO ENTREGUE - ' || line_lo || '"}}}},{{{{"description":"postado"}}}},{{{{"description":"Objeto não entregue"}}}},{{{{"description":null}}}}]'
+             WHEN flag_lo = 'N' THEN '[]' END AS tracking_events,
+        CASE WHEN flag_lo <> 'R' OR line_lo = 'F' THEN {SHIPPED} END AS shipped_at,
         {SHIPPED} + 6 * {HOUR} AS updated_at,
-        CASE WHEN max(l_tax) > 0.075 THEN {SHIPPED} END AS deleted_at {BY_LINE}""",
+        CASE WHEN tax_hi > 0.075 THEN {SHIPPED} END AS deleted_at {BY_LINE}""",
     "shipment_items": f"""SELECT {LINE} AS shipment_id,
         CASE WHEN l_returnflag <> 'N' OR l_linestatus <> 'O' THEN l_partkey END AS customer_product_id,
         cast(l_quantity AS int) AS quantity FROM {{lineitem}}""",
