@@ -20,6 +20,18 @@ def log_of(log: DataFrame, *item_types: str) -> DataFrame:
     return log.where(F.col("item_type").isin(*item_types))
 
 
+def parse_once(df: DataFrame, keep: Sequence[str], **parsed: Column) -> DataFrame:
+    """``keep`` plus parsed columns, each computed once per row.
+
+    The optimiser copies a later filter, with the parsing inside it, below a plain
+    projection, and the text is then parsed again for every condition. It does not move
+    filters below a generator, so the values pass through one.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in parsed.items()])
+    rows = df.select(*keep, F.explode(F.array(packed)).alias("_parsed"))
+    return rows.select(*keep, *[F.col(f"_parsed.{name}").alias(name) for name in parsed])
+
+
 def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Sequence[str] = ()) -> DataFrame:
     """One row per log row: old, new and last value of a field, and chosen snapshot fields.
 
@@ -27,12 +39,11 @@ def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Seque
     field. Each JSON text is parsed once.
     """
     wanted = list(dict.fromkeys([field, *snapshot_fields]))
-    parsed = log.select(
-        "item_id",
-        "created_at",
-        "event",
-        change_pair("object_changes", field).alias("_pair"),
-        F.from_json("object", f"struct<{', '.join(f'`{f}`:string' for f in wanted)}>").alias("_snapshot"),
+    parsed = parse_once(
+        log,
+        ["item_id", "created_at", "event"],
+        _pair=change_pair("object_changes", field),
+        _snapshot=F.from_json("object", f"struct<{', '.join(f'`{f}`:string' for f in wanted)}>"),
     )
     return parsed.select(
         "item_id",
@@ -84,11 +95,9 @@ def error_episodes(
     """Every entry into ``value`` with its earliest later exit; entries never left are dropped."""
     # The plain text test runs before any parsing and also thins the hot-key search.
     logged = log_of(log, item_type).where(may_hold("object_changes", value))
-    rows = logged.select(
-        "item_id", F.col("created_at").alias("entered_at"), change_pair("object_changes", field).alias("_pair")
-    ).select(
+    rows = parse_once(logged, ["item_id", "created_at"], _pair=change_pair("object_changes", field)).select(
         "item_id",
-        "entered_at",
+        F.col("created_at").alias("entered_at"),
         F.coalesce(last_of("_pair") == value, F.lit(False)).alias("enters"),
         F.coalesce(old_of("_pair") == value, F.lit(False)).alias("leaves"),
     )

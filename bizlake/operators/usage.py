@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlake.functions.changes import change_pair, last_of, may_hold, old_of
 from bizlake.functions.time import month_start, week_start
-from bizlake.operators.changelog import log_of
+from bizlake.operators.changelog import log_of, parse_once
 
 
 def active_usage(log: DataFrame, since: str | None = "2025-05-01", field: str = "signin_token") -> DataFrame:
@@ -20,8 +20,8 @@ def active_usage(log: DataFrame, since: str | None = "2025-05-01", field: str =
     if since is not None:
         # Also as a plain range on the stored column, so file statistics can prune.
         rows = rows.where(F.col("created_at") >= F.date_sub(F.lit(since).cast("date"), 7).cast("timestamp_ntz"))
-    pairs = rows.where(may_hold("object_changes", field)).select(
-        "item_id", "created_at", change_pair("object_changes", field).alias("_pair")
+    pairs = parse_once(
+        rows.where(may_hold("object_changes", field)), ["item_id", "created_at"], _pair=change_pair("object_changes", field)
     )
     rows = pairs.where(old_of("_pair").isNotNull() & last_of("_pair").isNull()).select(
         "item_id", month_start("created_at").alias("month"), week_start("created_at").alias("week")

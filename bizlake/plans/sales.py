@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bizlake.functions import labels as L
 from bizlake.functions.text import concat_skip_null, string_agg_distinct
 from bizlake.functions.time import day, fmt, in_zone_range, local_ts, ts_lit
-from bizlake.operators.changelog import has_text, log_of, unpack_changes
+from bizlake.operators.changelog import has_text, log_of, parse_once, unpack_changes
 from bizlake.operators.cohort import ACTIVE_STATUSES
 from bizlake.operators.hours import business_hours, business_hours_case, first_response_hours
 from bizlake.operators.keys import latest_per_key
@@ -545,8 +545,7 @@ def art_control(t: Tables, since: str = "2024-01-01", file_key: str = "image_dat
     parts |= {k: "array<struct<id:string, metadata:struct<filename:string>>>" for k in ("image_data", file_key)}
     changes = F.from_json(F.col("object_changes"), f"struct<{', '.join(f'{k}:{v}' for k, v in parts.items())}>")
     images = (
-        log_of(t.versions, "QuoteItemImage")
-        .select("created_at", "event", changes.alias("c"))
+        parse_once(log_of(t.versions, "QuoteItemImage"), ["created_at", "event"], c=changes)
         .select(
             "created_at",
             "event",
