@@ -26,7 +26,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = [k for k in os.environ.get("BENCH_KEYS", "").split(",") if k]
     spark = build_session(
         "bench", f"local[{cpus}]",

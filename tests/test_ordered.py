@@ -71,3 +71,10 @@ def test_salted_join_equals_plain_join(log):
     salted = S.salted_join(left, right, ["k"], residual, all_hashes(log.where("k = 'hot'")), salts=7)
     assert plain.count() > 1000
     assert rows(plain) == rows(salted)
+
+
+def test_with_missing_is_a_left_join(spark):
+    ids = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, name string")
+    many = spark.createDataFrame([(1, 10), (1, 11), (3, None), (9, 5), (None, 6)], "k int, v int")
+    got = S.with_missing(many, ids, ["k"]).join(ids, "k").select("k", "name", "v")
+    assert rows(got) == rows(ids.join(many, "k", "left").select("k", "name", "v"))
