@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlake.functions.time import as_of_ts, month_start
+from bizlake.operators.skew import with_missing
 
 # Shipment categories that leave the stock, and move types by origin.
 SHIPPED_CATEGORIES = ("SHIPPING", "DEVOLUTION_RESEND")
@@ -31,7 +32,8 @@ def company_stock(customer_products: DataFrame, sizes: DataFrame) -> DataFrame:
     s = sizes.select(
         F.col("customer_product_id").alias("id"), F.col("id").alias("size_id"), "inventory_amount"
     )
-    rows = customer_products.select("id", "company_id", "unique_inventory_amount").join(s, "id", "left")
+    own = customer_products.select("id", "company_id", "unique_inventory_amount")
+    rows = with_missing(s, own, ["id"]).join(own, "id")
     some = (F.col("unique_inventory_amount") > 0) | (F.col("inventory_amount") > 0)
     amount = stock_quantity(F.col("size_id").isNotNull(), F.col("inventory_amount"), F.col("unique_inventory_amount"))
     return (

@@ -139,6 +139,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
         F.col("id").alias("shipment_id"), "shipping_order_id", F.coalesce("shirt_size", F.lit(NO_SIZE)).alias("_size")
     )
     own = pick(t.customer_products, id="customer_product_id", sku="_sku")
+    article_ids = own.select("customer_product_id")
     shipped = (
         t.shipment_items.join(sent.join(orders, "shipping_order_id"), "shipment_id")
         .join(firms, "owner_id")
@@ -149,7 +150,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
     amount = stock_quantity(F.col("size_id").isNotNull(), F.col("size_amount"), F.col("unique_inventory_amount"))
     rows = (
         articles(t)
-        .join(sizes, "customer_product_id", "left")
+        .join(with_missing(sizes, article_ids, ["customer_product_id"]), "customer_product_id")
         .join(ranges, "product_id", "left")
         .join(firms, "owner_id", "left")
         .join(teams, "owner_id", "left")
@@ -160,7 +161,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
             | (F.coalesce("size_amount", F.lit(0)) > 0)
             | (F.coalesce("shipped", F.lit(0)) > 0)
         )
-        .join(with_missing(per_sale, t.customer_products.select(F.col("id").alias("customer_product_id")), ["customer_product_id"]), "customer_product_id")
+        .join(with_missing(per_sale, article_ids, ["customer_product_id"]), "customer_product_id")
         .join(origins, "customer_product_id", "left")
         .join(placed, "customer_product_id", "left")
         .join(moved_all, "customer_product_id", "left")
