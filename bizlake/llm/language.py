@@ -19,10 +19,10 @@ from bizlake.llm import words as wd
 from bizlake.llm.store import table
 
 FOLDS = 5
-DICTIONARY_BYTES = 96 << 10  # of each language
+DICTIONARY_BYTES = 32 << 10  # of each language
 SAMPLE_DOCS = 400  # documents of a language that its dictionary is drawn from, about
-LEVEL = 3
-BLOCK_BYTES = 4 << 10
+LEVEL = 9
+BLOCK_BYTES = 1 << 10
 MARGIN = 0.01  # of the smallest size, below which the answer counts as rejected
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +37,7 @@ def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DO
     """A dictionary of at most ``size`` bytes for each lang of ``docs`` (text, lang).
 
     About ``sample`` documents of each language, those of the smallest hashes, are read for it, and at most ``size``
-    characters of each. Copies count once. The documents most like the whole sample come last, where they cost least.
+    characters of each. Copies count once. The most frequent language comes first.
     """
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
@@ -47,9 +47,9 @@ def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DO
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, math.ceil((1 << 30) * sample / n)))])
     rows = docs.filter(part < limit[F.col("lang")]).select("lang", part.alias("part"), F.substring("text", 1, size).alias("text")).collect()
     out: dict[str, bytes] = {}
-    for lang in counts:
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         own = dict.fromkeys(r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["part"], r["text"])))
-        share = max(256, 4 * size // max(1, len(own)))
+        share = max(256, size // max(1, len(own)))
         taken = b""
         for text in own:
             if len(taken) >= size:
@@ -62,12 +62,12 @@ def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DO
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, block: int = BLOCK_BYTES, level: int = LEVEL) -> DataFrame:
     """doc_id, lang_pred, score, bytes (the smallest size) and rejected for each row of ``docs`` (doc_id, text).
 
-    The score is the share of the winner if each byte saved per block counts as evidence; ties go to the first language by
-    name. Null texts and texts without a letter are ``und`` with score 0, as are all if nothing was learned. Whole texts are
+    The score is the share of the winner if each byte saved per block counts as evidence; ties go to the
+    language with more training text. Null texts and texts without a letter are ``und`` with score 0, as are all if nothing was learned. Whole texts are
     encoded. Equal rows have equal results; other columns are ignored.
     """
     schema = docs.select("doc_id").schema.simpleString()[7:-1] + ",lang_pred string,score double,bytes bigint,rejected boolean"
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = []
