@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,7 @@ SAMPLED = 0.4  # of the hash range, in step 1
 BUCKET_KEYS = 1 << 20  # packed keys of a bucket, about
 LEAST_BUCKETS = 256
 FLUSH_KEYS, FLUSH_DOCS = 1 << 20, 60_000
+BLOCK_NODES = 256  # a class of more nodes is compared in blocks of so many
 MANY = 0xFFFF  # in place of a document's number: several of the same pack
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # multipliers of the hash orders
 
@@ -177,16 +178,33 @@ def _unpacked(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(unpack, "node bigint, n bigint, token bigint")
 
 
+def _may_link(n: str, own: str, m: Column | str, percent: int) -> Column:
+    """Whether a set of n tokens, ``own`` of which no other set has, can overlap enough with one of m tokens."""
+    m = F.col(m) if isinstance(m, str) else m
+    return (100 + percent) * (F.col(n) - F.col(own)) >= percent * (F.col(n) + m)
+
+
 def prefix_tokens(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, n, token: the tokens that lie in the prefix of their set by rising frequency and that other sets also have."""
+    """node, n, own, token: the tokens that lie in the prefix of their set by rising frequency and that other sets also have.
+
+    own counts the set's tokens that no other set has. A set is left out of a token's list if it has too many of those to
+    link even with the smallest set of the list.
+    """
     tokens = _unpacked(sets)
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = tokens.join(frequent, "token")
     place = Window.partitionBy("node").orderBy("df", "token")
-    kept = common.withColumn("place", F.row_number().over(place)).withColumn("common", F.count("*").over(Window.partitionBy("node")))
+    kept = common.withColumn("place", F.row_number().over(place)).withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # tokens that no other set has come first
-    return kept.filter(F.col("n") - F.col("common") + F.col("place") <= prefix).select("node", "n", "token")
+    prefixes = kept.filter(F.col("own") + F.col("place") <= prefix).select("node", "n", "own", "token")
+    return _listed(written(prefixes, "prefixes"), percent)
+
+
+def _listed(prefixes: DataFrame, percent: int) -> DataFrame:
+    least = prefixes.groupBy("token").agg(F.min("n").alias("least"))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    return prefixes.join(least, "token").filter(_may_link("n", "own", smallest, percent)).drop("least")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -214,28 +232,69 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     nodes = sets.select("node")
     prefixes = written(prefix_tokens(sets, percent), "prefixes")
     ends = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = prefixes.join(ends, "token")
-    pairs = (
-        met.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(met.select(F.col("node").alias("a"), F.col("high").alias("b")))
-        .filter("a < b").distinct()
-    )
-    stars = written(pairs, "pairs")
+    met = prefixes.join(ends, "token").select("node", F.explode(F.array("low", "high")).alias("end"))
+    stars = written(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).filter("a < b").distinct(), "pairs")
     links = written(linked(stars, sets, percent), "links")
     labels = components(nodes, links)
     # prefix tokens that still have nodes of several classes
     placed = prefixes.join(labels, "node")
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    placed = written(placed.join(open_tokens, "token"), "open")
-    classes = placed.select("token", F.col("component").alias("other")).distinct()
-    across = placed.join(classes, "token").filter("component < other")
-    rest = across.join(
-        placed.select("token", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")), ["token", "other"]
-    ).filter((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")))
+    placed = written(_listed(placed.join(open_tokens, "token"), percent), "open")
+    sizes = placed.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("size"))
+    placed = placed.join(sizes, "component")
+    classes = placed.select("token", F.col("component").alias("other"), F.col("size").alias("other_size")).distinct()
+    # each node of the smaller class meets the larger one
+    smaller = (F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("component") < F.col("other"))
+    across = placed.join(classes, "token").filter(smaller)
+    members = placed.select("token", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("m_own"))
+    rest = across.filter(F.col("other_size") <= BLOCK_NODES).join(members, ["token", "other"]).filter(
+        _may_link("n", "own", "m", percent) & _may_link("m", "m_own", "n", percent)
+    )
     rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(linked(rest, sets, percent), "links")
+    one_by_one = linked(rest, sets, percent)
+    in_blocks = _linked_blocks(across.filter(F.col("other_size") > BLOCK_NODES).select("node", "other").distinct(), members.select("other", "b").distinct(), sets, percent)
+    more = written(one_by_one.unionByName(in_blocks), "links")
     return components(nodes, links.unionByName(more))
 
 
+def _linked_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the links between each visiting node (``visits``: node, other) and the ``members`` (other, b) of the class it visits.
+
+    Members and visitors meet in blocks of both, so a large class makes rows for its blocks, not for its pairs.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("count") / BLOCK_NODES)).cast("int")
+    count = lambda df: df.groupBy("other").agg(F.count("*").alias("count"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK_NODES) - 1).cast("int")))
+    visitors, held = count(visits), members.join(visits.select("other").distinct(), "other", "left_semi")
+    numbers = visitors.withColumnRenamed("count", "visitors").join(count(held).withColumnRenamed("count", "held"), "other")
+    left = visits.join(numbers, "other").withColumn("count", F.col("visitors")).withColumn("x_block", block("node")).withColumn("y_block", spread("held"))
+    right = held.join(numbers, "other").withColumn("count", F.col("held")).withColumn("y_block", block("b")).withColumn("x_block", spread("visitors"))
+    rows = left.select("other", "x_block", "y_block", "node", F.lit(True).alias("visits")).unionByName(
+        right.select("other", "x_block", "y_block", F.col("b").alias("node"), F.lit(False).alias("visits"))
+    )
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, visits = rows.column("node").to_numpy(), rows.column("visits").to_numpy()
+        n = rows.column("n").to_numpy()
+        token = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint64)
+        kinds, column = np.unique(token, return_inverse=True)
+        row = np.repeat(np.arange(len(node)), n)
+        y = np.flatnonzero(~visits)
+        both = np.zeros((int(visits.sum()), len(y)), np.float32)
+        x = np.flatnonzero(visits)
+        for low in range(0, len(kinds), 4096):  # dense in slices of the tokens
+            on = (column >= low) & (column < low + 4096)
+            dense = np.zeros((len(node), min(4096, len(kinds) - low)), np.float32)
+            dense[row[on], column[on] - low] = 1
+            both += dense[x] @ dense[y].T
+        i, j = np.nonzero((100 + percent) * both >= percent * (n[x][:, None] + n[y][None, :]))
+        a_out, b_out = node[x[i]], node[y[j]]
+        return pa.table({"a": np.minimum(a_out, b_out), "b": np.maximum(a_out, b_out)})
+
+    with_sets = rows.join(sets.select("node", "n", "tokens"), "node")
+    return with_sets.groupBy("other", "x_block", "y_block").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def similar_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_id (md5 of the text), n_shingles and component_id (the smallest doc_id of its class) of each row.
 
@@ -245,8 +304,8 @@ def similar_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     docs = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "text")
     rows = written(sharing(docs, ["doc_id", "text_id"], k, percent), "rows")
     # one text of each sequence of words
-    chosen = rows.filter("shares").groupBy("digest").agg(F.min("text_id").alias("text_id")).select("text_id")
-    chosen = rows.filter("shares").join(chosen, "text_id", "left_semi").groupBy("text_id").agg(F.min("doc_id").alias("id"))
+    chosen = rows.filter("shares").groupBy("digest", "text_id").agg(F.min("doc_id").alias("id"))
+    chosen = chosen.groupBy("digest").agg(F.min(F.struct("text_id", "id")).alias("c")).select("c.*")
     texts = docs.alias("d").join(chosen.alias("c"), (F.col("d.text_id") == F.col("c.text_id")) & F.col("d.doc_id").eqNullSafe(F.col("c.id")))
     texts = written(texts.select("d.text_id", "d.text").dropDuplicates(["text_id"]), "texts")
     again = sharing(texts, ["text_id"], k, percent).filter("shares").select("text_id", "digest")
