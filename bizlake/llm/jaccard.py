@@ -32,7 +32,8 @@ SAMPLED = 0.4  # of the hash range, in step 1
 BUCKET_KEYS = 1 << 20  # packed keys of a bucket, about
 LEAST_BUCKETS = 256
 FLUSH_KEYS, FLUSH_DOCS = 1 << 20, 60_000
-BLOCK_NODES = 256  # a class of more nodes is compared in blocks of so many
+FEW_NODES = 16  # a class of more nodes is compared in blocks
+BLOCK_NODES = 256  # nodes of a block
 MANY = 0xFFFF  # in place of a document's number: several of the same pack
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # multipliers of the hash orders
 
@@ -246,13 +247,14 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     # each node of the smaller class meets the larger one
     smaller = (F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("component") < F.col("other"))
     across = placed.join(classes, "token").filter(smaller)
-    members = placed.select("token", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("m_own"))
-    rest = across.filter(F.col("other_size") <= BLOCK_NODES).join(members, ["token", "other"]).filter(
+    across = written(across.select("node", "n", "own", "other", "other_size").distinct(), "across")
+    members = placed.select(F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("m_own")).distinct()
+    rest = across.filter(F.col("other_size") <= FEW_NODES).join(members, "other").filter(
         _may_link("n", "own", "m", percent) & _may_link("m", "m_own", "n", percent)
     )
     rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     one_by_one = linked(rest, sets, percent)
-    in_blocks = _linked_blocks(across.filter(F.col("other_size") > BLOCK_NODES).select("node", "other").distinct(), members.select("other", "b").distinct(), sets, percent)
+    in_blocks = _linked_blocks(across.filter(F.col("other_size") > FEW_NODES).select("node", "other"), members.select("other", "b"), sets, percent)
     more = written(one_by_one.unionByName(in_blocks), "links")
     return components(nodes, links.unionByName(more))
 

@@ -280,6 +280,7 @@ def _classes(texts):
 @pytest.mark.parametrize("block", [256, 4])
 def test_classes_equal_brute_force(spark, hard, empty, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+    monkeypatch.setattr(jaccard, "FEW_NODES", min(block, 16) // 2)
     r = random.Random(7)
     rows, n = [], 0
     for family in range(4):
