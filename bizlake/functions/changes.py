@@ -14,8 +14,11 @@ from bizlake.functions.time import col
 
 
 def may_hold(text: str | Column, word: str) -> Column:
-    """The JSON text contains ``"word"``, as a key or as a value; a superset of any exact test."""
-    return col(text).contains(f'"{word}"')
+    """The JSON text may contain the word, as a key or as a value of any type; a superset of any exact test.
+
+    Without a backslash nothing is escaped, so the word would be there as it is; with one, only parsing can tell.
+    """
+    return col(text).contains(word) | col(text).contains("\\")
 
 
 def change_pair(changes: str | Column, field: str) -> Column:

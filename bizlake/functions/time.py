@@ -38,7 +38,10 @@ def local_ts(c: str | Column, zone: str = DEFAULT_ZONE, mode: str = "utc_to_loca
 
 
 def micros(c: str | Column) -> Column:
-    return F.unix_micros(col(c).cast("timestamp"))
+    """Microseconds of the wall time since 1970, whatever the session's zone."""
+    c = col(c).cast("timestamp_ntz")
+    seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000
+    return F.unix_date(c.cast("date")).cast("bigint") * MICROS_PER_DAY + seconds + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def elapsed_hours(start: str | Column, end: str | Column) -> Column:

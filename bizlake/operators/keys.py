@@ -1,7 +1,7 @@
-"""One row, or the newest rows, per key, by aggregation instead of a sorted window.
+"""One row, or the newest rows, per key.
 
-``min``/``max`` of a struct combine on the map side, so a hot key costs no more
-than any other.
+The first row of a key is a rank of one, which Spark limits before the shuffle as well (``WindowGroupLimit``), so a hot
+key sends at most one row per map task.
 """
 
 from __future__ import annotations
@@ -9,28 +9,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in ascending order (NULLs last); later columns break ties."""
-    return _edge_per_key(df, keys, order, F.min, nulls_flag=lambda c: c.isNull())
+    return _edge_per_key(df, keys, order, False, nulls_flag=lambda c: c.isNull())
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], nulls_last: bool = False) -> DataFrame:
     """The first row of each key in descending order; NULLs win as in PostgreSQL unless ``nulls_last``."""
     flag = (lambda c: c.isNotNull()) if nulls_last else (lambda c: c.isNull())
-    return _edge_per_key(df, keys, order, F.max, nulls_flag=flag)
+    return _edge_per_key(df, keys, order, True, nulls_flag=flag)
 
 
-def _edge_per_key(df, keys, order, edge, nulls_flag) -> DataFrame:
+def _edge_per_key(df, keys, order, descending, nulls_flag) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
     ranks = []
-    for i, c in enumerate(order):
+    for c in order:
         c = F.col(c) if isinstance(c, str) else c
-        ranks += [nulls_flag(c).alias(f"_n{i}"), c.alias(f"_o{i}")]
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*ranks, *rest)
-    return df.groupBy(*keys).agg(edge(packed).alias("_row")).select(*keys, *[f"_row.{c}" for c in rest])
+        ranks += [nulls_flag(c), c]
+    ranks += [F.col(c) for c in rest]  # ties end with the whole row
+    ranks = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in ranks]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*ranks))
+    return df.withColumn("_place", place).where("_place = 1").select(*keys, *rest)
 
 
 def latest_per_key(

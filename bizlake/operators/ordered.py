@@ -9,6 +9,8 @@ Keys that are not hot go through one plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,6 +36,13 @@ def _per_path(df, keys, hot, plain, sliced) -> DataFrame:
     return plain(df.where(~is_hot)).unionByName(sliced(df.where(is_hot)))
 
 
+def _with_borders(rows: DataFrame, borders: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Adds the border columns to every row; NULL keys and NULL times match themselves, so no row is lost."""
+    named = borders.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return rows.join(named, same).drop(*[f"_on_{c}" for c in on])
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,7 +89,7 @@ def neighbours(
         rows = windowed(part, [*keys, "_slice"]).withColumns(
             {"_top": F.lag(F.lit(1)).over(inner).isNull(), "_end": F.lead(F.lit(1)).over(inner).isNull()}
         )
-        joined = rows.join(borders, [*keys, "_slice"])
+        joined = _with_borders(rows, borders, [*keys, "_slice"])
         fixed = {out: F.when(F.col("_top"), F.col(f"_before.{c}")).otherwise(F.col(out)) for c, out in previous.items()}
         fixed |= {out: F.when(F.col("_end"), F.col(f"_after.{c}")).otherwise(F.col(out)) for c, out in following.items()}
         if sequence:
@@ -113,7 +122,7 @@ def next_match(
         borders = part.groupBy(*keys, "_slice").agg(F.min("_hit").alias("_first"))
         w = W.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(W.unboundedPreceding, -1)
         borders = borders.select(*keys, "_slice", F.min("_first").over(w).alias("_after"))
-        rows = part.withColumn(out, later([*keys, "_slice"])).join(borders, [*keys, "_slice"])
+        rows = _with_borders(part.withColumn(out, later([*keys, "_slice"])), borders, [*keys, "_slice"])
         return rows.withColumn(out, F.coalesce(out, "_after")).drop("_slice", "_after")
 
     plain = lambda part: part.withColumn(out, later(keys))
@@ -141,7 +150,7 @@ def running_sum(
         borders = part.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
         w = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
         borders = borders.select(*keys, "_slice", F.sum("_sum").over(w).alias("_before"))
-        rows = part.withColumn(out, total([*keys, "_slice"])).join(borders, [*keys, "_slice"])
+        rows = _with_borders(part.withColumn(out, total([*keys, "_slice"])), borders, [*keys, "_slice"])
         fixed = F.coalesce(F.col(out) + F.col("_before"), F.col(out), F.col("_before"))
         return rows.withColumn(out, fixed).drop("_slice", "_before")
 
