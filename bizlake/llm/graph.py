@@ -11,17 +11,28 @@ from bizlake.llm.store import written
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, component (the smallest node that its links reach) for ``nodes`` (node) and ``links`` (a, b).
 
-    Each round takes the smallest label next to each node, then the label of that label, so chains halve in
-    each round. A hub is a hot key only on the side of a join that can be split; labels are unique.
+    In each round a node points at the smallest node next to it, pointers are followed to their roots, and the links are drawn
+    anew between roots; links inside a root are gone, so later rounds see few. A root is the smallest node of its tree.
+    A hub is a hot key only on the side of a join that can be split; pointers are unique.
     """
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = nodes.select("node", F.col("node").alias("component"))
+    while edges.limit(1).count():
+        roots = _roots(edges.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("root")))
+        named = labels.join(roots.select(F.col("node").alias("component"), "root"), "component", "left")
+        labels = written(named.select("node", F.coalesce("root", "component").alias("component")), "labels")
+        left = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+        both = left.join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        edges = written(both.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    return labels
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """node, root: where following the pointers (node, root) ends; each round doubles the steps that a pointer spans."""
+    pointers = written(pointers, "roots")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
-        nearest = labels.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        nearest = written(nearest, "labels")
-        roots = nearest.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = written(nearest.join(roots, "component").select("node", "before", F.col("root").alias("component")), "labels")
-        labels = jumped.select("node", "component")
-        if jumped.filter("before <> component").limit(1).count() == 0:
-            return labels
+        ahead = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = written(pointers.join(ahead, "root").select("node", F.col("root").alias("before"), F.col("next").alias("root")), "roots")
+        pointers = jumped.select("node", "root")
+        if jumped.filter("before <> root").limit(1).count() == 0:
+            return pointers
