@@ -186,26 +186,28 @@ def _may_link(n: str, own: str, m: Column | str, percent: int) -> Column:
 
 
 def prefix_tokens(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, n, own, token: the tokens that lie in the prefix of their set by rising frequency and that other sets also have.
+    """node, n, own, token, before, ahead: the tokens that lie in the prefix of their set by rising frequency and that other sets also have.
 
-    own counts the set's tokens that no other set has. A set is left out of a token's list if it has too many of those to
+    before is the set's token one place earlier in that order, null for the first.
+    own counts the set's tokens that no other set has, ahead those and the tokens before this one: none of them is shared
+    with a set that this token is the first to meet. A set is left out of a token's list if it has too many of those to
     link even with the smallest set of the list.
     """
     tokens = _unpacked(sets)
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = tokens.join(frequent, "token")
     place = Window.partitionBy("node").orderBy("df", "token")
-    kept = common.withColumn("place", F.row_number().over(place)).withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    kept = common.withColumn("place", F.row_number().over(place)).withColumn("before", F.lag("token").over(place)).withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # tokens that no other set has come first
-    prefixes = kept.filter(F.col("own") + F.col("place") <= prefix).select("node", "n", "own", "token")
+    prefixes = kept.filter(F.col("own") + F.col("place") <= prefix).select("node", "n", "own", "token", "before", (F.col("own") + F.col("place") - 1).alias("ahead"))
     return _listed(written(prefixes, "prefixes"), percent)
 
 
 def _listed(prefixes: DataFrame, percent: int) -> DataFrame:
     least = prefixes.groupBy("token").agg(F.min("n").alias("least"))
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    return prefixes.join(least, "token").filter(_may_link("n", "own", smallest, percent)).drop("least")
+    return prefixes.join(least, "token").filter(_may_link("n", "ahead", smallest, percent)).drop("least")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -237,16 +239,24 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     stars = written(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).filter("a < b").distinct(), "pairs")
     links = written(linked(stars, sets, percent), "links")
     labels = components(nodes, links)
-    # prefix tokens that still have nodes of several classes
+    # Prefix tokens that still have nodes of several classes. Nodes with the same token before have met there: each pair
+    # is looked at where their prefixes first come together.
+    came_from = (F.min("before").alias("from_low"), F.max("before").alias("from_high"), (F.count("before") < F.count("*")).alias("starts"))
     placed = prefixes.join(labels, "node")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *came_from)
+    open_tokens = open_tokens.filter("low <> high AND (starts OR from_low <> from_high)").select("token")
     placed = written(_listed(placed.join(open_tokens, "token"), percent), "open")
     sizes = placed.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("size"))
     placed = placed.join(sizes, "component")
-    classes = placed.select("token", F.col("component").alias("other"), F.col("size").alias("other_size")).distinct()
+    reach = 100 * F.col("n") - (100 + percent) * F.col("ahead")  # a set links with none of more than reach / percent tokens
+    classes = placed.groupBy("token", F.col("component").alias("other"), F.col("size").alias("other_size")).agg(
+        *came_from, F.min("n").alias("other_least"), F.max(reach).alias("other_reach")
+    )
     # each node of the smaller class meets the larger one
     smaller = (F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("component") < F.col("other"))
-    across = placed.join(classes, "token").filter(smaller)
+    met_before = F.coalesce((F.col("from_low") == F.col("before")) & (F.col("from_high") == F.col("before")), F.lit(False)) & ~F.col("starts")
+    fits = (reach >= percent * F.col("other_least")) & (F.col("other_reach") >= percent * F.col("n"))
+    across = placed.join(classes, "token").filter(smaller & ~met_before & fits)
     across = written(across.select("node", "n", "own", "other", "other_size").distinct(), "across")
     members = placed.select(F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("m_own")).distinct()
     rest = across.filter(F.col("other_size") <= FEW_NODES).join(members, "other").filter(
