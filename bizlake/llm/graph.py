@@ -27,6 +27,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more ``links`` (a, b): only the classes that they touch are linked anew."""
+    left = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+    between = left.join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    between = written(between.distinct(), "between")
+    touched = between.select("a").unionByName(between.select(F.col("b").alias("a"))).distinct()
+    roots = components(touched.select(F.col("a").alias("node")), between)
+    named = labels.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    return named.select("node", F.coalesce("root", "component").alias("component"))
+
+
 def _roots(pointers: DataFrame) -> DataFrame:
     """node, root: where following the pointers (node, root) ends; each round doubles the steps that a pointer spans."""
     pointers = written(pointers, "roots")

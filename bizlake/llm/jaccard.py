@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bizlake.llm import words as wd
-from bizlake.llm.graph import components
+from bizlake.llm.graph import components, merged_components
 from bizlake.llm.store import table, written
 
 SHINGLE = 5
@@ -266,7 +266,7 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     one_by_one = linked(rest, sets, percent)
     in_blocks = _linked_blocks(across.filter(F.col("other_size") > FEW_NODES).select("node", "other"), members.select("other", "b"), sets, percent)
     more = written(one_by_one.unionByName(in_blocks), "links")
-    return components(nodes, links.unionByName(more))
+    return merged_components(labels, more)
 
 
 def _linked_blocks(visits: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
