@@ -11,24 +11,20 @@ from pyspark.sql import functions as F
 from bizlake.functions.time import WEEK_MONDAY, col, day, second_of_day
 
 # Closing days used for the service-level dates.
-SLA_HOLIDAYS = tuple(
-    date.fromisoformat(d)
-    for d in (
-        "2024-01-01 2024-01-02 2024-02-12 2024-02-13 2024-03-29 2024-04-21 2024-05-01 2024-05-30 "
-        "2024-09-07 2024-10-12 2024-11-02 2024-11-15 2024-12-24 2024-12-25 2024-12-30 2024-12-31 "
-        "2025-01-01 2025-01-02 2025-01-03 2025-03-03 2025-03-04 2025-04-18 2025-04-21 2025-05-01 "
-        "2025-06-19 2025-09-07 2025-10-12 2025-11-02 2025-11-15 2025-12-24 2025-12-25 2025-12-30 2025-12-31"
-    ).split()
+SLA_HOLIDAYS = (
+    date(2024, 1, 1), date(2024, 1, 2), date(2024, 2, 12), date(2024, 2, 13), date(2024, 3, 29), date(2024, 4, 21),
+    date(2024, 5, 1), date(2024, 5, 30), date(2024, 9, 7), date(2024, 10, 12), date(2024, 11, 2), date(2024, 11, 15),
+    date(2024, 12, 24), date(2024, 12, 25), date(2024, 12, 30), date(2024, 12, 31), date(2025, 1, 1), date(2025, 1, 2),
+    date(2025, 1, 3), date(2025, 3, 3), date(2025, 3, 4), date(2025, 4, 18), date(2025, 4, 21), date(2025, 5, 1),
+    date(2025, 6, 19), date(2025, 9, 7), date(2025, 10, 12), date(2025, 11, 2), date(2025, 11, 15), date(2025, 12, 24),
+    date(2025, 12, 25), date(2025, 12, 30), date(2025, 12, 31),
 )
 # Closing days used for working-hours durations.
-HOURS_HOLIDAYS = tuple(
-    date.fromisoformat(d)
-    for d in (
-        "2024-01-01 2024-02-12 2024-02-13 2024-03-29 2024-04-21 2024-05-01 2024-05-30 2024-09-07 "
-        "2024-10-12 2024-11-02 2024-11-15 2024-12-25 "
-        "2025-01-01 2025-03-03 2025-03-04 2025-04-18 2025-04-21 2025-05-01 2025-06-19 2025-09-07 "
-        "2025-10-12 2025-11-02 2025-11-15 2025-12-25"
-    ).split()
+HOURS_HOLIDAYS = (
+    date(2024, 1, 1), date(2024, 2, 12), date(2024, 2, 13), date(2024, 3, 29), date(2024, 4, 21), date(2024, 5, 1),
+    date(2024, 5, 30), date(2024, 9, 7), date(2024, 10, 12), date(2024, 11, 2), date(2024, 11, 15), date(2024, 12, 25),
+    date(2025, 1, 1), date(2025, 3, 3), date(2025, 3, 4), date(2025, 4, 18), date(2025, 4, 21), date(2025, 5, 1),
+    date(2025, 6, 19), date(2025, 9, 7), date(2025, 10, 12), date(2025, 11, 2), date(2025, 11, 15), date(2025, 12, 25),
 )
 # First and last day of the service-level calendar.
 SLA_START = date(2023, 1, 1)

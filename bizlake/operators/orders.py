@@ -6,22 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bizlake.functions.time import day
 
 
 def share_of_total(
-    df: DataFrame, keys: Sequence[str], part: str, whole: str, out: str = "share", digits: int = 0
+    df: DataFrame, keys: Sequence[str], part: str, whole: str, out: str = "share", digits: int = 0, few_rows: bool = False
 ) -> DataFrame:
     """``whole`` split over the rows of a key in proportion to ``part``; NULL when the total is 0.
 
     The total comes from an aggregation joined back, not from a window, so a key with
-    very many rows is never sorted in one task.
+    very many rows is never sorted in one task. Rows that are grouped already, a few for
+    each key (``few_rows``), take a window instead, so that ``df`` is computed once.
     """
-    totals = df.groupBy(*keys).agg(F.sum(part).alias("_total"))
     share = F.round(
         F.col(whole) * F.col(part) / F.nullif(F.col("_total").cast("double"), F.lit(0.0)), digits
     )
+    if few_rows:
+        return df.withColumn("_total", F.sum(part).over(Window.partitionBy(*keys))).withColumn(out, share).drop("_total")
+    totals = df.groupBy(*keys).agg(F.sum(part).alias("_total"))
     return df.join(totals, list(keys)).withColumn(out, share).drop("_total")
 
 
@@ -50,14 +54,17 @@ def status_date(edits: DataFrame, status: str = "TO_PRODUCE") -> DataFrame:
 
 def last_delivery(sales: DataFrame, items: DataFrame, moves: DataFrame, since: str = "2024-01-01") -> DataFrame:
     """Latest arrival over the live items of each live order created since a date."""
-    arrivals = moves.groupBy(F.col("sale_item_id").alias("id")).agg(F.max("arrived_at").alias("arrived_at"))
+    orders = sales.where(
+        (F.col("created_at") >= F.lit(since).cast("timestamp_ntz")) & (F.col("status") != "CANCELED")
+    ).select(F.col("id").alias("sale_id"), "code")
     lines = items.where(F.col("status") != "CANCELED").select("id", "sale_id")
+    lines = lines.join(orders.select("sale_id"), "sale_id", "left_semi")
+    # only moves of the kept lines
+    own = moves.select(F.col("sale_item_id").alias("id"), "arrived_at").join(lines.select("id"), "id", "left_semi")
+    arrivals = own.groupBy("id").agg(F.max("arrived_at").alias("arrived_at"))
     per_sale = (
         lines.join(arrivals, "id", "left").groupBy("sale_id").agg(F.max("arrived_at").alias("last_delivery_at"))
     )
-    orders = sales.where(
-        (F.col("created_at") >= F.lit(since).cast("timestamp_ntz")) & (F.col("status") != "CANCELED")
-    ).select(F.col("id").alias("sale_id"), "code")
     return orders.join(per_sale, "sale_id")
 
 

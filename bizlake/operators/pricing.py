@@ -27,17 +27,17 @@ def live_lines(sales: DataFrame, items: DataFrame) -> DataFrame:
 def alloc_factor(sales: DataFrame, items: DataFrame) -> DataFrame:
     """Order total over the sum of its line values, per order; 1 when that sum is not positive.
 
-    Lines are summed per order before the join, so an order with very many lines is
-    combined on the map side.
+    Only lines of the given ``sales`` are summed, so pass the orders that are wanted.
     """
+    orders = sales.where(F.col("status") != CANCELED).select(
+        F.col("id").alias("sale_id"), "code", "total_price"
+    )
     lines = (
         items.where(F.col("status") != CANCELED)
+        .join(orders.select("sale_id"), "sale_id", "left_semi")
         .groupBy("sale_id")
         .agg(F.sum(F.col("amount") * F.col("final_price")).alias("line_total"))
     )
-    orders = sales.where(F.col("status") != CANCELED).select(
-        F.col("id").alias("sale_id"), "code", "total_price"
-    )
     factor = F.when(F.col("line_total") <= 0, F.lit(1.0)).otherwise(
         F.col("total_price").cast("double") / F.col("line_total").cast("double")
     )

@@ -44,11 +44,11 @@ def company_stock(customer_products: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def shipped_quantity(shipments: DataFrame, shipment_items: DataFrame) -> DataFrame:
-    """Pieces per shipping order, summed before anything is joined to the order."""
-    per_shipment = shipment_items.groupBy("shipment_id").agg(F.sum("quantity").alias("quantity"))
+    """Pieces per shipping order of the given ``shipments``; other shipments' items are not summed."""
     live = shipments.select(F.col("id").alias("shipment_id"), "shipping_order_id")
     return (
-        live.join(per_shipment, "shipment_id")
+        shipment_items.select("shipment_id", "quantity")
+        .join(live, "shipment_id")
         .groupBy("shipping_order_id")
         .agg(F.sum("quantity").alias("quantity"))
     )
@@ -63,6 +63,7 @@ def monthly_consumption(
         (F.col("created_at") >= since) & (F.col("status") != "canceled")
     ).select(F.col("id").alias("shipping_order_id"), "company_id", month_start("created_at").alias("month"))
     sent = alive(shipments).where(F.col("shipment_category").isin(*SHIPPED_CATEGORIES))
+    sent = sent.join(orders.select("shipping_order_id"), "shipping_order_id", "left_semi")
     rows = orders.join(shipped_quantity(sent, shipment_items), "shipping_order_id")
     per_month = rows.groupBy("company_id", "month").agg(F.sum("quantity").alias("quantity"))
     total = per_month.groupBy("company_id").agg(

@@ -36,9 +36,12 @@ def _flag(c: str, yes: str, no: str) -> Column:
     return F.when(F.col(c), yes).otherwise(no)
 
 
-def _latest_receipts(t: Tables) -> DataFrame:
-    """Distinct newest moves of each sale item; an item whose newest move has no quantity has none."""
-    moves = t.inventory_moves.where(F.col("sale_item_id").isNotNull()).select("sale_item_id", "created_at", *MOVE_COLUMNS)
+def _latest_receipts(t: Tables, sales: DataFrame) -> DataFrame:
+    """Distinct newest moves of each item of the ``sales``; an item whose newest move has no quantity has none."""
+    orders = sales.select(F.col("id").alias("sale_id"))
+    items = t.sale_items.select(F.col("id").alias("sale_item_id"), "sale_id").join(orders, "sale_id", "left_semi")
+    moves = t.inventory_moves.select("sale_item_id", "created_at", *MOVE_COLUMNS)
+    moves = moves.join(items.select("sale_item_id"), "sale_item_id", "left_semi")
     newest = latest_per_key(moves, ["sale_item_id"], "created_at", F.col("quantity").isNotNull())
     return newest.drop("created_at").distinct().withColumnsRenamed({c: f"m_{c}" for c in MOVE_COLUMNS})
 
@@ -69,9 +72,9 @@ def sales_margin(t: Tables, since: str = "2025-01-01", zone_mode: str = "utc_to_
     """Sale item: value, allocated value, costs, dates, price band, newest receipt, last delivery."""
     sales = t.sales.where((F.col("created_at") >= ts_lit(since)) & (F.col("status") != "CANCELED"))
     firms = pick(t.companies, id="company_id", name="client")
-    factors = alloc_factor(t.sales, t.sale_items).select("sale_id", "factor")
+    factors = alloc_factor(sales, t.sale_items).select("sale_id", "factor")
     started = status_date(t.sale_status_edits)
-    delivered = last_delivery(t.sales, t.sale_items, t.inventory_moves).select("sale_id", "last_delivery_at")
+    delivered = last_delivery(sales, t.sale_items, t.inventory_moves).select("sale_id", "last_delivery_at")
     heads = (
         _people(_heads(sales).join(firms, "company_id"), t)
         .join(factors, "sale_id", "left")
@@ -89,7 +92,7 @@ def sales_margin(t: Tables, since: str = "2025-01-01", zone_mode: str = "utc_to_
     rows = (
         priced.join(item_costs(t).withColumnRenamed("filled", "cost_filled"), "sale_item_id", "left")
         .join(designs, "sale_item_id", "left")
-        .join(_latest_receipts(t), "sale_item_id", "left")
+        .join(_latest_receipts(t, sales), "sale_item_id", "left")
     )
     value = _float(F.col("amount") * F.col("final_price"))
     found = F.col("markup").isNotNull()
@@ -176,14 +179,14 @@ def year_end_sales(
         _heads(sales).select("sale_id", "code", "company_id", "quote_id", "created_at")
         .join(firms, "company_id")
         .join(purposes, "quote_id", "left")
-        .join(alloc_factor(t.sales, t.sale_items).select("sale_id", "factor"), "sale_id")
+        .join(alloc_factor(sales, t.sale_items).select("sale_id", "factor"), "sale_id")
     )
     lines = _items(t).where(F.col("item_status") != "CANCELED").select(
         "sale_item_id", "sale_id", "product_id", "amount", "final_price"
     )
     value = _float(F.col("amount") * F.col("final_price")) * F.col("factor")
     rows = lines.join(heads, "sale_id").withColumn("value", value).where(F.col("value") > 0)
-    rows = rows.join(products_of(t), "product_id", "left").join(_latest_receipts(t), "sale_item_id", "left")
+    rows = rows.join(products_of(t), "product_id", "left").join(_latest_receipts(t, sales), "sale_item_id", "left")
     return rows.select(
         "code",
         "sku",

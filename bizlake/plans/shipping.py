@@ -73,8 +73,9 @@ def shipments_base(
     orders = t.shipping_orders.where(~F.col("status").isin("canceled", "draft") & period).select(
         F.col("id").alias("shipping_order_id"), "code", "created_at", "total_kits_quantity"
     )
-    pieces = shipped_quantity(alive(t.shipments), t.shipment_items).withColumnRenamed("quantity", "pieces")
-    trips = t.shipments.select("shipping_order_id", "shipped_at", "deleted_at").distinct()
+    own = t.shipments.join(orders.select("shipping_order_id"), "shipping_order_id", "left_semi")
+    pieces = shipped_quantity(alive(own), t.shipment_items).withColumnRenamed("quantity", "pieces")
+    trips = own.select("shipping_order_id", "shipped_at", "deleted_at").distinct()
     rows = with_missing(trips, orders, ["shipping_order_id"]).where(F.col("deleted_at").isNull())
     rows = rows.join(orders, "shipping_order_id")
     rows = rows.join(pieces, "shipping_order_id", "left")
@@ -113,9 +114,11 @@ def shipments_detail(t: Tables, since: str = "2025-01-01") -> DataFrame:
     )
     arrived = first_transition(t.versions, "Shipment", "DELIVERED").withColumnRenamed("item_id", "_log_id")
     sent = _sent(t).withColumn("_log_id", F.col("shipment_id").cast("string"))
-    totals = t.shipment_items.groupBy("shipment_id").agg(F.sum("quantity").alias("pieces"))
+    kept = _sent(t).join(orders.select("shipping_order_id"), "shipping_order_id", "left_semi").select("shipment_id")
+    parts = t.shipment_items.select("shipment_id", "customer_product_id", "quantity").join(kept, "shipment_id", "left_semi")
+    totals = parts.groupBy("shipment_id").agg(F.sum("quantity").alias("pieces"))
     goods = articles(t).select("customer_product_id", "cp_sku", "cp_name", "p_name", "unit_price")
-    lines = with_missing(t.shipment_items.select("shipment_id", "customer_product_id"), _sent(t), ["shipment_id"])
+    lines = with_missing(parts.select("shipment_id", "customer_product_id"), kept, ["shipment_id"])
     rows = (
         lines.join(sent.join(heads, "shipping_order_id"), "shipment_id")
         .join(goods, "customer_product_id", "left")
@@ -232,7 +235,7 @@ def shipping_type_sla(
         F.sum("pieces").alias("pieces"),
         F.max("total_kits_quantity").alias("kits"),
     )
-    shared = share_of_total(grouped, ["code"], "pieces", "kits", "kit_share")
+    shared = share_of_total(grouped, ["code"], "pieces", "kits", "kit_share", few_rows=True)
     errors = (
         error_episodes(t.versions)
         .groupBy(F.col("item_id").alias("_log_id"))
