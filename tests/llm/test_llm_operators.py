@@ -168,6 +168,16 @@ def test_attention_base_and_rest(docs, texts, hard, empty):
     assert attention.score_texts(hard, empty, attention.learn(empty)).filter("n_known = 0").count() == hard.count()
 
 
+def test_attention_learns_from_all_documents(spark):
+    """A text is learned whatever its hash: each of these is a corpus of copies, of which a share by hash has all or none."""
+    for text in ("zebra quokka wombat ibex", "violet amber ochre umber", "delta bayou fjord atoll"):
+        copies = spark.createDataFrame([(i, text) for i in range(40)], "doc_id bigint, text string")
+        model = attention.learn(copies)
+        follow = np.exp(model.bigrams.classes).max(axis=1)
+        assert (follow > 0.8).sum() > 3  # what follows is known after each id
+        assert attention.score_texts(copies, copies, model).first()["score"] > -3
+
+
 def test_attention_is_a_distribution():
     """Class probabilities sum to one, and an id's score does not depend on what follows or on other texts."""
     r = np.random.default_rng(5)
