@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "identifier", "credential", "endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-LEAST = {"assign": 6, "access": 20, "hex": 24}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
 REACH = 200  # characters around a part in which others complete it
 WEAK = {
     "identifier": re.compile(r"""(?<![A-Za-z])(?:user(?:name|id)?|login|account|client_?id|access_?(?:key_?)?id)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A),
@@ -40,8 +40,9 @@ ENTROPY = 3.5
 PART = {"assign": "credential", "access": "identifier", "hex": "credential", "identifier": "identifier", "credential": "credential", "endpoint": "endpoint"}
 COMPLETES = {"identifier": ("credential",), "credential": ("identifier", "endpoint"), "endpoint": ("identifier", "credential")}
 _BREAK = re.compile(r"\n[ \t]*\n")
-_HEX_BYTES = np.zeros(256, bool)
+_HEX_BYTES, _RANDOM_BYTES = np.zeros(256, bool), np.zeros(256, bool)
 _HEX_BYTES[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
+_RANDOM_BYTES[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-"]] = True
 
 
 def entropy(text: str) -> float:
@@ -62,12 +63,13 @@ def base_spans(text: str, has_hex: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def weak_spans(text: str) -> list[tuple[int, int, int]]:
+def weak_spans(text: str, has_random: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the candidates that need others beside them."""
     out = []
     if ":" in text or "=" in text:
         for kind, pattern in WEAK.items():
             out += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
+    if has_random:
         out += [(m.start(), KINDS.index("credential"), m.end()) for m in RANDOM.finditer(text) if entropy(m[0]) >= ENTROPY]
     return out
 
@@ -113,10 +115,12 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
             texts = wd.texts_of(batch.column("text"))
             begin, end, doc = wd.spans(texts, _HEX_BYTES[texts.data])
             long_hex = set(doc[end - begin >= LEAST["hex"]].tolist())
+            begin, end, doc = wd.spans(texts, _RANDOM_BYTES[texts.data])
+            long_random = set(doc[end - begin >= LEAST["random"]].tolist())  # no other text has a match of RANDOM
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 base = base_spans(text or "", i in long_hex)
-                more = linked(text or "", base, weak_spans(text or ""), reach)
+                more = linked(text or "", base, weak_spans(text or "", i in long_random), reach)
                 rows.append((*(sum(k == j for _, k, _ in base) for j in range(3)), show(base), show(sorted(base + more))))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
