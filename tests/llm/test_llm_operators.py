@@ -216,6 +216,17 @@ def test_toxicity_held_out(spark, hard, empty):
     assert toxicity.restore(["1d10t", "stuuupid", "m.o.r.o.n", "tr@sh"], model.bigrams)[1:] == ["stupid", "moron", "trash"]
 
 
+def test_disguises_are_restored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    plain = ["the weather in 1999 was fine (so they say).", "he said: hello! and left", "é à", "", "3 4 5 6", "a letter for the committee"]
+    told = {"(1d10t)": "(idiot)", "[m0r0n]": "[moron]", "\u201cm0r0n\u201d": "\u201cmoron\u201d", "hat3": "hate", "idi07": "idiot", "iidioott": "idiot", "i d 1 0 t": "idiot", "m o r 0 n,": "moron,"}
+    got = toxicity.restored(pa.array([*plain, *(f"you are {x} then" for x in told)]), model.bigrams, {})
+    got = [x.decode() if isinstance(x, bytes) else x for x in got.to_pylist()]
+    assert got == [*plain, *(f"you are {x} then" for x in told.values())]
+    assert toxicity.restore(["a$$", "hell0"], model.bigrams) == ["ass", "hello"]
+
+
 # 5
 
 
