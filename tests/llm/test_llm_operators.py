@@ -227,6 +227,15 @@ def test_disguises_are_restored(spark):
     assert toxicity.restore(["a$$", "hell0"], model.bigrams) == ["ass", "hello"]
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    clean = "the river runs past the old mill and the green hill " * 500
+    rows = [(i, clean + ("you utter blockhead" if i % 2 else "see you tomorrow")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in got) and got[1] - got[0] > 0.5
+
+
 # 5
 
 
