@@ -20,7 +20,7 @@ from bizlake.llm.store import table
 
 FOLDS = 5
 DICTIONARY_BYTES = 32 << 10  # of each language
-SAMPLE_DOCS = 400  # documents of a language that its dictionary is drawn from, about
+SAMPLE_DOCS = 400  # distinct texts of a language that its dictionary is drawn from, about
 LEVEL = 9
 BLOCK_BYTES = 1 << 10
 MARGIN = 0.01  # of the smallest size, below which the answer counts as rejected
@@ -36,25 +36,31 @@ def fold(doc_id: Column, folds: int) -> Column:
 def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """A dictionary of at most ``size`` bytes for each lang of ``docs`` (text, lang).
 
-    About ``sample`` documents of each language, those of the smallest hashes, are read for it, and at most ``size``
-    characters of each. Copies count once. The most frequent language comes first.
+    About ``sample`` distinct texts of each language, those of the smallest hashes (all, if there are fewer), give a piece
+    each from a place chosen by hash, so about ``size`` characters of a language reach the driver. Copies count once. The most frequent language comes first.
     """
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
+    distinct = docs.groupBy("lang", F.xxhash64("text").alias("h")).count()
+    counts = {r["lang"]: (r["n"], r["kinds"]) for r in distinct.groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("kinds")).collect()}  # one row per language
     if not counts:
         return {}
+    by_lang = lambda value: F.create_map(*[F.lit(x) for lang, (_, kinds) in counts.items() for x in (lang, value(kinds))])[F.col("lang")]
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, math.ceil((1 << 30) * sample / n)))])
-    rows = docs.filter(part < limit[F.col("lang")]).select("lang", part.alias("part"), F.substring("text", 1, size).alias("text")).collect()
+    chosen = docs.filter(part < by_lang(lambda kinds: min(1 << 30, math.ceil((1 << 30) * sample / kinds))))
+    # a piece somewhere in the text, the same in all copies
+    share = by_lang(lambda kinds: math.ceil(size / min(sample, kinds)))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.char_length("text") - share + 1, F.lit(1))).cast("int")
+    pieces = chosen.select("lang", part.alias("part"), F.substr("text", place + 1, share).alias("text")).distinct()
+    rows = pieces.collect()
     out: dict[str, bytes] = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        own = dict.fromkeys(r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["part"], r["text"])))
-        share = max(256, size // max(1, len(own)))
+    for lang in sorted(counts, key=lambda x: (-counts[x][0], x)):
+        own = [r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["part"], r["text"]))]
+        most = math.ceil(size / min(sample, counts[lang][1]))
         taken = b""
         for text in own:
             if len(taken) >= size:
                 break
-            taken = text.encode()[:share].decode(errors="ignore").lower().encode() + b"\n" + taken
+            taken = text.lower().encode()[:most].decode(errors="ignore").encode() + b"\n" + taken
         out[lang] = taken[-size:]
     return out
 

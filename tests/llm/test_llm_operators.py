@@ -156,6 +156,16 @@ def test_language_held_out(spark, hard, empty):
     assert {r["lang_pred"] for r in language.identify(hard, language.learn(empty)).collect()} == {"und"}
 
 
+def test_every_language_has_a_dictionary_from_all_over_its_texts(spark):
+    words = [f"kala{i}ton" for i in range(40)]
+    own = [" ".join([*words[i:], *words[:i]]) for i in range(5)]
+    rows = [(i, own[i % 5], "xx") for i in range(8000)] + [(9000 + i, f"start{i} " + "vara " * 3000 + f"zulu{i}", "yy") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.learn(docs)
+    assert list(found) == ["xx", "yy"] and all(t.encode() in found["xx"] for t in own)
+    assert found["yy"].count(b"vara") > 4000 and found["yy"].count(b"start") < 30
+
+
 def test_attention_base_and_rest(docs, texts, hard, empty):
     train = docs.filter(language.fold(F.col("doc_id"), 7) != 2)
     got = {r["doc_id"]: r for r in attention.score_texts(docs, train, attention.learn(train, share=2)).collect()}
