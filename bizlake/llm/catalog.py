@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlake.llm import attention, credentials, decontamination, jaccard, language, mixing, pii, repetition, templates, toxicity
+from bizlake.llm import attention, chat, credentials, decontamination, jaccard, language, mixing, pii, repetition, runs, templates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -19,9 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition": repetition.op8_repetition,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_chat_format": chat.op11_chat_format,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op1_source_mix": mixing.SQL,
     "op2_decontamination": decontamination.SQL,
     "op5_line_templates": templates.SQL,
+    "op11_chat_format": chat.SQL,
 }

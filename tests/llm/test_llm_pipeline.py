@@ -11,10 +11,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(catalog.SQL))
 def test_sql(spark, key):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
-    want = con.execute(catalog.SQL[key]).df().sort_values("doc_id").reset_index(drop=True)
-    got = catalog.QUERIES[key](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want, got = con.execute(catalog.SQL[key]).df(), catalog.QUERIES[key](spark, SF).toPandas()
+    by = [c for c in ("doc_id", "conv_id", "depth") if c in want.columns]
+    want, got = (rows.sort_values(by).reset_index(drop=True) for rows in (want, got))
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     for column in got.columns:
         assert (got[column] == want[column]).all(), column
