@@ -19,13 +19,12 @@ from bizlake.operators import changelog as G
 from bizlake.operators import cohort as K
 from bizlake.operators import hours as H
 from bizlake.operators import keys, orders, pricing, repurchase, status, stock, usage
-from bizlake.operators.skew import hot_hashes
 from bizlake.plans.common import pick
 
 WORK = f"""work AS (
     SELECT cast(d AS date) AS d, row_number() OVER (ORDER BY d) AS k FROM range(TIMESTAMP '2023-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) r(d)
     WHERE isodow(d) < 6 AND cast(d AS date) NOT IN ({SLA_DAYS}))"""
-ITEM_EVENTS = f"""ev AS (
+ITEM_EVENTS = f"""ev AS MATERIALIZED (
     SELECT item_id AS k, {loc("created_at")} AS "at", coalesce(object_changes::json->'status'->>1, object::json->>'status') AS st
     FROM versions WHERE item_type = 'SaleItem')"""
 
@@ -284,16 +283,38 @@ def _episodes(t):
     "d_stage_lead_time",
     over(
         "versions",
-        f"""WITH {ITEM_EVENTS}, p AS (
-            SELECT x.k, x.st AS s1, x."at" AS a, y.st AS s2, y."at" AS b, date_diff('day', cast(x."at" AS date), cast(y."at" AS date)) AS gap
-            FROM ev x JOIN ev y ON y.k = x.k AND y."at" > x."at"
-            WHERE x.st IN {status.START_STATUSES} AND y.st IN {status.END_STATUSES})
-        SELECT k AS item, s1 AS start_status, a AS started_at, s2 AS end_status, b AS ended_at, round({V1_SQL}, 5) AS working_hours FROM p""",
+        f"""WITH {ITEM_EVENTS},
+        o AS MATERIALIZED (SELECT k, st AS s1, "at" AS a, cast("at" AS date) AS da FROM ev WHERE st IN {status.START_STATUSES}),
+        c AS MATERIALIZED (SELECT k, st AS s2, "at" AS b, cast("at" AS date) AS db FROM ev WHERE st IN {status.END_STATUSES}),
+        cal AS MATERIALIZED (
+            SELECT d, sum(CASE WHEN isodow(d) < 6 AND d NOT IN ({HOURS_DAYS}) THEN 1 ELSE 0 END) OVER (ORDER BY d) AS n
+            FROM (SELECT cast(d AS date) AS d FROM range(TIMESTAMP '2018-12-01', TIMESTAMP '2027-01-01', INTERVAL 1 DAY) r(d))),
+        p AS (
+            SELECT o.k, s1, a, da, s2, b, db, cb.n - CASE WHEN isodow(db) < 6 AND db NOT IN ({HOURS_DAYS}) THEN 1 ELSE 0 END - ca.n AS between_days
+            FROM o JOIN c ON c.k = o.k JOIN cal ca ON ca.d = da JOIN cal cb ON cb.d = db WHERE b > a)
+        SELECT k AS item, s1 AS start_status, a AS started_at, s2 AS end_status, b AS ended_at,
+            round(CASE WHEN da = db THEN epoch_us(b - a) / 3600e6 ELSE epoch_us(b - (date_trunc('day', b) + INTERVAL 9 HOUR)) / 3600e6
+                + CASE WHEN cast(a AS time) > TIME '18:00:00' THEN 0 ELSE epoch_us(date_trunc('day', a) + INTERVAL 18 HOUR - a) / 3600e6 END
+                + 9 * CASE WHEN db - da > 1 THEN between_days ELSE 0 END END, 5) AS working_hours FROM p""",
     ),
 )
 def _lead(t):
-    hot = hot_hashes(G.log_of(t.versions, "SaleItem").select(F.col("item_id").alias("item")), ["item"])
-    return rounded(status.stage_lead_time(_item_events(t), "item", hot=hot), "working_hours")
+    return rounded(status.stage_lead_time(_item_events(t), "item"), "working_hours")
+
+
+@register_roles(
+    "d_next_end",
+    over(
+        "versions",
+        f"""WITH {ITEM_EVENTS},
+        o AS (SELECT DISTINCT k, st AS s1, "at" AS a FROM ev WHERE st IN {status.START_STATUSES}),
+        c AS (SELECT k, "at" AS b, min(st) AS s2 FROM ev WHERE st IN {status.END_STATUSES} GROUP BY 1, 2),
+        p AS (SELECT o.k, s1, a, s2, b, date_diff('day', cast(a AS date), cast(b AS date)) AS gap FROM o ASOF LEFT JOIN c ON c.k = o.k AND c.b > o.a)
+        SELECT k AS item, s1 AS start_status, a AS started_at, s2 AS end_status, b AS ended_at, round({V1_SQL}, 5) AS working_hours FROM p""",
+    ),
+)
+def _next_end(t):
+    return rounded(status.next_end(_item_events(t), "item"), "working_hours")
 
 
 @register_roles(

@@ -16,6 +16,7 @@ from bizlake.operators import keys
 from bizlake.operators.calendar import HOURS_HOLIDAYS, business_calendar, business_days_between
 from bizlake.operators.ordered import neighbours, next_match, running_sum
 from bizlake.operators.orders import share_of_total
+from bizlake.operators.ranges import range_count, range_join
 from bizlake.plans.common import down, pick, up
 
 MONEY = "decimal(18,2)"
@@ -292,6 +293,33 @@ def _(lineitem, orders):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", days.alias("work_days"))
 
 
+@q(
+    "q_range_join",
+    "SELECT c_custkey, s_suppkey, c_acctbal, s_acctbal FROM customer JOIN supplier ON s_acctbal BETWEEN c_acctbal AND c_acctbal + 100",
+    "customer", "supplier",
+)
+def _(customer, supplier):
+    bands = customer.select("c_custkey", "c_acctbal", (F.col("c_acctbal") + 100).alias("up_to"))
+    return range_join(supplier.select("s_suppkey", "s_acctbal"), bands, "s_acctbal", "c_acctbal", "up_to", 100).drop("up_to")
+
+
+@q(
+    "q_range_count",
+    """WITH span AS (SELECT DISTINCT cast(o_orderdate AS date) AS a, cast(l_shipdate AS date) AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    d AS (SELECT cast(o_orderdate AS date) AS d, count(*) AS n FROM orders GROUP BY 1),
+    n AS (SELECT a, b, coalesce(sum(d.n), 0) AS n FROM span LEFT JOIN d ON d BETWEEN a AND b GROUP BY 1, 2)
+    SELECT l_orderkey, l_linenumber, l_partkey, cast(n AS bigint) AS orders_meanwhile FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    JOIN n ON a = cast(o_orderdate AS date) AND b = cast(l_shipdate AS date)""",
+    "lineitem", "orders",
+)
+def _(lineitem, orders):
+    placed = orders.select("o_orderkey", TM.day("o_orderdate").alias("ordered"))
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", TM.day("l_shipdate").alias("shipped"))
+    rows = rows.join(placed, F.col("o_orderkey") == F.col("l_orderkey")).drop("o_orderkey")
+    counted = range_count(rows, placed.select(F.col("ordered").alias("day")), "day", "ordered", "shipped", 30, "orders_meanwhile")
+    return counted.select("l_orderkey", "l_linenumber", "l_partkey", "orders_meanwhile")
+
+
 @q(
     "q_join_cross",
     "SELECT c_custkey, cast(k AS int) AS relative_quarter FROM customer, range(1, 13) r(k)",

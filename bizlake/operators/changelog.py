@@ -11,8 +11,7 @@ from bizlake.functions.changes import (
     change_pair, has_key, last_of, may_hold, new_of, new_value, old_of, snapshot_value,
 )
 from bizlake.functions.time import fmt, local_ts
-from bizlake.operators.ordered import next_match
-from bizlake.operators.skew import hot_hashes
+from bizlake.operators.ordered import CUTS, next_instant
 
 
 def log_of(log: DataFrame, *item_types: str) -> DataFrame:
@@ -32,8 +31,10 @@ def parse_once(df: DataFrame, keep: Sequence[str], **parsed: Column) -> DataFram
     return rows.select(*keep, *[F.col(f"_parsed.{name}").alias(name) for name in parsed])
 
 
-def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Sequence[str] = ()) -> DataFrame:
-    """One row per log row: old, new and last value of a field, and chosen snapshot fields.
+def unpack_changes(
+    log: DataFrame, field: str = "status", snapshot_fields: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per log row: old, new and last value of a field, chosen snapshot fields, and columns to keep.
 
     ``value`` is the new value, or the snapshot's when the change does not hold the
     field. Each JSON text is parsed once.
@@ -41,7 +42,7 @@ def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Seque
     wanted = list(dict.fromkeys([field, *snapshot_fields]))
     parsed = parse_once(
         log,
-        ["item_id", "created_at", "event"],
+        ["item_id", "created_at", "event", *keep],
         _pair=change_pair("object_changes", field),
         _snapshot=F.from_json("object", f"struct<{', '.join(f'`{f}`:string' for f in wanted)}>"),
     )
@@ -54,6 +55,7 @@ def unpack_changes(log: DataFrame, field: str = "status", snapshot_fields: Seque
         last_of("_pair").alias("last_value"),
         F.coalesce(new_of("_pair"), F.col(f"_snapshot.{field}")).alias("value"),
         *[F.col(f"_snapshot.{f}").alias(f) for f in snapshot_fields],
+        *keep,
     )
 
 
@@ -85,15 +87,13 @@ def first_promise(
 
 
 def error_episodes(
-    log: DataFrame,
-    item_type: str = "ShippingOrder",
-    field: str = "status",
-    value: str = "error",
-    hot: Sequence[int] | None = None,
-    **spread,
+    log: DataFrame, item_type: str = "ShippingOrder", field: str = "status", value: str = "error", cuts: int = CUTS
 ) -> DataFrame:
-    """Every entry into ``value`` with its earliest later exit; entries never left are dropped."""
-    # The plain text test runs before any parsing and also thins the hot-key search.
+    """Every entry into ``value`` with its earliest later exit; entries never left are dropped.
+
+    Entries and exits of one instant are one, so the scan runs over the entity's distinct instants.
+    """
+    # The plain text test runs before any parsing.
     logged = log_of(log, item_type).where(may_hold("object_changes", value))
     rows = parse_once(logged, ["item_id", "created_at"], _pair=change_pair("object_changes", field)).select(
         "item_id",
@@ -101,14 +101,13 @@ def error_episodes(
         F.coalesce(last_of("_pair") == value, F.lit(False)).alias("enters"),
         F.coalesce(old_of("_pair") == value, F.lit(False)).alias("leaves"),
     )
-    hot = hot_hashes(logged, ["item_id"]) if hot is None else hot
     rows = rows.where(F.col("enters") | F.col("leaves"))
-    paired = next_match(rows, ["item_id"], "entered_at", F.col("leaves"), "left_at", hot=hot, **spread)
+    instants = rows.groupBy("item_id", "entered_at").agg(F.max("enters").alias("enters"), F.max("leaves").alias("leaves"))
+    paired = next_instant(instants, ["item_id"], "entered_at", F.when(F.col("leaves"), F.col("entered_at")), "left_at", cuts)
     seconds = F.timestamp_diff("MICROSECOND", "entered_at", "left_at").cast("decimal(28,6)")
     return (
         paired.where(F.col("enters") & F.col("left_at").isNotNull())
         .select("item_id", "entered_at", "left_at")
-        .distinct()
         .withColumns(
             {
                 "days": F.round(seconds / F.lit(86_400_000_000), 2).cast("decimal(18,2)"),

@@ -7,28 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlake.operators.skew import hot_hashes, salted_join
+from bizlake.operators.ordered import CUTS
+from bizlake.operators.pairs import later_pairs
 
 
 def repurchase(
-    sales: DataFrame,
-    keys: Sequence[str],
-    on: str,
-    carry: Sequence[str],
-    min_days: int = 30,
-    hot: Sequence[int] | None = None,
+    sales: DataFrame, keys: Sequence[str], on: str, carry: Sequence[str], min_days: int = 30, cuts: int = CUTS
 ) -> DataFrame:
     """Every earlier purchase with every later one at least ``min_days`` after it.
 
     The pairs are the report. ``first_*`` columns come from the earlier purchase and
-    ``again_*`` from the later. Rows with a NULL key cannot match and are dropped
-    before the shuffle; a key that holds very many rows is spread over salted tasks.
+    ``again_*`` from the later. Rows with a NULL key or day have no pairs.
     """
-    rows = sales.select(*keys, on, *carry).dropna(subset=[*keys, on])
-    if hot is None:
-        hot = hot_hashes(rows, keys)
-    first = rows.withColumnsRenamed({c: f"first_{c}" for c in [on, *carry]})
-    again = rows.withColumnsRenamed({c: f"again_{c}" for c in [on, *carry]})
-    gap = F.datediff(F.col(f"again_{on}"), F.col(f"first_{on}"))
-    residual = (gap > 0) & (gap >= min_days)
-    return salted_join(first, again, list(keys), residual, hot).withColumn("days_between", gap)
+    first, again = ({c: f"{side}_{c}" for c in [on, *carry]} for side in ("first", "again"))
+    pairs = later_pairs(sales.select(*keys, on, *carry), keys, on, first, again, min_days=min_days, cuts=cuts)
+    return pairs.withColumn("days_between", F.datediff(f"again_{on}", f"first_{on}"))

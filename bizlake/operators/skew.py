@@ -1,76 +1,10 @@
-"""Finding and spreading hot keys.
-
-A key is *hot* when it alone holds more rows than one task should take. Hot keys
-only steer how rows are spread: results never depend on which keys were found.
-"""
+"""Left joins to a table in which one key may hold very many rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# At most this many keys can each hold more than 1/MAX_HOT of the rows, so the
-# list that reaches the driver is bounded whatever the data size is.
-MAX_HOT = 1000
-# Below this row count one task can take the whole key.
-SMALL_ROWS = 5_000_000
-SALTS = 64
-
-
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_hashes(df: DataFrame, keys: Sequence[str], small_rows: int = SMALL_ROWS) -> list[int]:
-    """Hashes of the keys that hold more than both 1/MAX_HOT of the rows and ``small_rows``.
-
-    One column-pruned pass with a mergeable frequent-items sketch; the answer has at
-    most ``MAX_HOT`` numbers. A hash collision only spreads one more key.
-    """
-    found = (
-        df.select(key_hash(keys).alias("h"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {MAX_HOT}, {MAX_HOT * 20})").alias("top"))
-        .first()
-    )
-    if found is None or not found["n"] or found["top"] is None:
-        return []
-    limit = max(small_rows, found["n"] // MAX_HOT)
-    return [item["item"] for item in found["top"] if item["count"] > limit]
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    residual: Column | None,
-    hot: Sequence[int],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Inner join on equal ``keys`` plus a residual, with hot keys spread over ``salts`` tasks.
-
-    Left rows of a hot key get a salt from their own content (stable when a lost task
-    runs again); right rows of a hot key are repeated once per salt. Other keys carry
-    the salt 0 on both sides. The right side must not share non-key column names.
-    """
-    if not hot:
-        joined = left.join(right, list(keys))
-        return joined if residual is None else joined.where(residual)
-    is_hot = key_hash(keys).isin(list(hot))
-    l = left.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0))
-    )
-    r = right.withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
-                F.array(F.lit(0).cast("bigint"))
-            )
-        ),
-    )
-    joined = l.join(r, [*keys, "_salt"]).drop("_salt")
-    return joined if residual is None else joined.where(residual)
+from pyspark.sql import DataFrame
 
 
 def with_missing(many: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlake.operators.hours import business_hours
-from bizlake.operators.ordered import neighbours
-from bizlake.operators.skew import hot_hashes, salted_join
+from bizlake.operators.ordered import CUTS, neighbours, next_instant
+from bizlake.operators.pairs import later_pairs
 
 # Stages that open and close a production run.
 START_STATUSES = ("TO_PRODUCE", "IN_PRODUCTION", "IN_QUOTATION")
 END_STATUSES = ("QUALITY", "DELIVERED")
 
 
-def status_pairs(events: DataFrame, key: str, ts: str = "at", status: str = "status", **spread) -> DataFrame:
+def status_pairs(events: DataFrame, key: str, ts: str = "at", status: str = "status", cuts: int = CUTS) -> DataFrame:
     """Every change from one status to a different next one, per entity.
 
     Events are ordered by (time, status). The first pair of an entity has no earlier
@@ -27,7 +27,7 @@ def status_pairs(events: DataFrame, key: str, ts: str = "at", status: str = "sta
     rows = events.where(F.col(status).isNotNull() & (F.col(status) != ""))
     seen = neighbours(
         rows, [key], [ts, status],
-        previous={status: "_before"}, following={status: "current_status", ts: "current_at"}, **spread,
+        previous={status: "_before"}, following={status: "current_status", ts: "current_at"}, cuts=cuts,
     )
     return (
         seen.where(F.col("_before").isNotNull() & (F.col("current_status") != F.col(status)))
@@ -43,24 +43,48 @@ def stage_lead_time(
     status: str = "status",
     starts: Sequence[str] = START_STATUSES,
     ends: Sequence[str] = END_STATUSES,
-    hot: Sequence[int] | None = None,
+    cuts: int = CUTS,
 ) -> DataFrame:
     """Every start-stage event with every later end-stage event of the entity, and its working hours.
 
-    The pairs are the result. Rows of a hot entity are spread over salted tasks.
+    The pairs are the result: starts times ends of an entity. ``next_end`` gives one row per start instead.
     """
-    opened = events.where(F.col(status).isin(*starts)).select(
-        key, F.col(status).alias("start_status"), F.col(ts).alias("started_at")
+    rows = events.where(F.col(status).isin(*starts, *ends)).select(key, ts, status)
+    pairs = later_pairs(
+        rows, [key], ts, {status: "start_status", ts: "started_at"}, {status: "end_status", ts: "ended_at"},
+        is_first=F.col(status).isin(*starts), is_again=F.col(status).isin(*ends), cuts=cuts,
     )
-    closed = events.where(F.col(status).isin(*ends)).select(
-        key, F.col(status).alias("end_status"), F.col(ts).alias("ended_at")
-    )
-    if hot is None:
-        hot = hot_hashes(opened.select(key).unionByName(closed.select(key)), [key])
-    pairs = salted_join(opened, closed, [key], F.col("ended_at") > F.col("started_at"), hot)
     return pairs.withColumn("working_hours", business_hours("started_at", "ended_at"))
 
 
+def next_end(
+    events: DataFrame,
+    key: str,
+    ts: str = "at",
+    status: str = "status",
+    starts: Sequence[str] = START_STATUSES,
+    ends: Sequence[str] = END_STATUSES,
+    cuts: int = CUTS,
+) -> DataFrame:
+    """Every start-stage event with the nearest later end-stage event of the entity, if any, and its working hours.
+
+    Starts and ends lie in one ordered stream, through which the nearest end is carried back: work grows with the events, not
+    with starts times ends. Of several ends at one time the first by status counts; equal starts give one row each time
+    and status. Events without a time are left out.
+    """
+    is_start = F.col(status).isin(*starts)
+    rows = events.where(F.col(status).isin(*starts, *ends) & F.col(ts).isNotNull())
+    instants = rows.groupBy(key, ts).agg(
+        F.collect_set(F.when(is_start, F.col(status))).alias("_starts"), F.min(F.when(F.col(status).isin(*ends), F.col(status))).alias("_end")
+    )
+    hit = F.when(F.col("_end").isNotNull(), F.struct(F.col(ts).alias("at"), F.col("_end").alias("status")))
+    found = next_instant(instants, [key], ts, hit, "_next", cuts)
+    return found.select(
+        key, F.explode("_starts").alias("start_status"), F.col(ts).alias("started_at"),
+        F.col("_next.status").alias("end_status"), F.col("_next.at").alias("ended_at"),
+    ).withColumn("working_hours", business_hours("started_at", "ended_at"))
+
+
 def stage_span(
     events: DataFrame,
     key: str,

@@ -17,7 +17,8 @@ from bizlake.operators.keys import latest_per_key
 from bizlake.operators.orders import last_delivery, status_date
 from bizlake.operators.pricing import alloc_factor, band_lookup
 from bizlake.operators.repurchase import repurchase
-from bizlake.operators.skew import hot_hashes, with_missing
+from bizlake.operators.ordered import sliced
+from bizlake.operators.skew import with_missing
 from bizlake.operators.status import stage_span, status_pairs
 from bizlake.plans.common import (
     ADMIN_URL, DMY_SLASH, YMD, admins_as, articles, down, item_costs, local_text, pick, plan_rows,
@@ -452,10 +453,12 @@ def sale_item_status_times(
     within the order.
     """
     log = log_of(t.versions, "SaleItem").where(F.col("created_at") >= ts_lit(log_since))
-    events = unpack_changes(log, "status", ["sale_id"]).select(
-        "item_id", local_ts("created_at").alias("at"), F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
+    # The slices are found on the plain columns, before anything is parsed.
+    log = sliced(log.withColumn("at", local_ts("created_at")), ["item_id"], ["at"])
+    events = unpack_changes(log, "status", ["sale_id"], keep=["at", "_slice"]).select(
+        "item_id", "at", "_slice", F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
     ).where(has_text(F.col("status")))
-    changes = status_pairs(events, "item_id", hot=hot_hashes(log, ["item_id"])).withColumns(
+    changes = status_pairs(events, "item_id").withColumns(
         {
             "sale_item_id": F.col("item_id").cast("bigint"),
             # The leading apostrophe keeps spreadsheets from reading a date.

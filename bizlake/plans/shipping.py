@@ -17,7 +17,8 @@ from bizlake.operators.changelog import error_episodes, first_promise, first_tra
 from bizlake.operators.cohort import company_plans
 from bizlake.operators.hours import clock_hours, clock_hours_case
 from bizlake.operators.orders import late_for_client, late_for_operation, share_of_total
-from bizlake.operators.skew import hot_hashes, with_missing
+from bizlake.operators.ordered import sliced
+from bizlake.operators.skew import with_missing
 from bizlake.operators.status import status_pairs
 from bizlake.operators.stock import (
     SHIPPED_CATEGORIES, alive, measure_fallback, order_measures, shipment_measures, shipped_quantity,
@@ -282,11 +283,12 @@ def shipping_status_times(
         F.col("id").cast("string").alias("item_id"), "code"
     )
     log = t.versions if item_type is None else log_of(t.versions, item_type)
-    events = unpack_changes(log, "status").select(
-        "item_id", F.col("created_at").alias("at"), F.col("value").alias("status")
+    log = sliced(log, ["item_id"], ["created_at"])
+    events = unpack_changes(log, "status", keep=["_slice"]).select(
+        "item_id", F.col("created_at").alias("at"), "_slice", F.col("value").alias("status")
     ).where(has_text(F.col("status")))
     # Orders meet the log on the key the pairs need anyway, so one shuffle serves both.
-    changes = status_pairs(events.join(orders, "item_id"), "item_id", hot=hot_hashes(log, ["item_id"]))
+    changes = status_pairs(events.join(orders, "item_id"), "item_id")
     changes = changes.withColumns(
         {
             "event_month_year": fmt("previous_at", "yyyy-MM"),

@@ -1,76 +1,124 @@
-"""The sliced path for hot keys gives what the plain window gives."""
+"""Scans over cut keys give what one plain window over whole keys gives, whatever the number of cut points."""
 
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bizlake.operators import ordered as O
+from bizlake.operators import pairs as P
 from bizlake.operators import skew as S
 
+START = datetime(2024, 1, 1)
+SCHEMA = "i int, k string, at timestamp_ntz, s string, v int"
 
-@pytest.fixture(scope="module")
-def log(spark):
+
+def made(kind):
     rng = random.Random(7)
     rows = []
     for i in range(3000):
-        key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}"
-        at = datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(60 * 24 * 6))
-        rows.append((i, key, at, rng.choice(["a", "b", "error"]), rng.randrange(100)))
-    return spark.createDataFrame(rows, "i int, k string, at timestamp_ntz, s string, v int").repartition(5).cache()
+        key = "hot" if kind != "many" or rng.random() < 0.4 else rng.choice([None, *(f"k{j}" for j in range(40))])
+        at = START if kind == "instant" else START + timedelta(minutes=rng.randrange(60 * 24 * 6))
+        rows.append((i, key, None if kind == "many" and rng.random() < 0.01 else at, rng.choice(["a", "b", "error"]), rng.randrange(100)))
+    return rows
 
 
-def all_hashes(df):
-    return [r.h for r in df.select(S.key_hash(["k"]).alias("h")).distinct().collect()]
+@pytest.fixture(scope="module", params=["many", "one key", "instant"])
+def log(spark, request):
+    return spark.createDataFrame(made(request.param), SCHEMA).repartition(5).cache()
 
 
 def rows(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str)
 
 
-@pytest.mark.parametrize("seconds", [3600, 86400 * 2, 60])
-def test_neighbours(log, seconds):
-    kinds = dict(previous={"s": "before", "v": "v_before"}, following={"s": "after", "at": "at_after"}, sequence="rn")
-    plain = O.neighbours(log, ["k"], ["at", "s", "i"], hot=[], **kinds)
-    sliced = O.neighbours(log, ["k"], ["at", "s", "i"], hot=all_hashes(log), slice_seconds=seconds, **kinds)
-    mixed = O.neighbours(log, ["k"], ["at", "s", "i"], hot=all_hashes(log.where("k = 'hot'")), slice_seconds=seconds, **kinds)
-    assert rows(plain) == rows(sliced) == rows(mixed)
-
-
-@pytest.mark.parametrize("seconds", [3600, 86400 * 2, 60])
-def test_next_match(log, seconds):
-    plain = O.next_match(log, ["k"], "at", F.col("s") == "error", "nxt", hot=[])
-    sliced = O.next_match(log, ["k"], "at", F.col("s") == "error", "nxt", hot=all_hashes(log), slice_seconds=seconds)
-    assert rows(plain) == rows(sliced)
-    local = log.collect()
-    for r in plain.collect():
-        later = [x.at for x in local if x.k == r.k and x.s == "error" and x.at > r.at]
+@pytest.mark.parametrize("cuts", [1, 40, 1024])
+def test_neighbours(log, cuts):
+    got = O.neighbours(log, ["k"], ["at", "s", "i"], previous={"s": "before", "v": "v_before"}, following={"s": "after", "at": "at_after"}, sequence="rn", cuts=cuts)
+    w = W.partitionBy("k").orderBy("at", "s", "i")
+    want = log.withColumns(
+        {"before": F.lag("s").over(w), "v_before": F.lag("v").over(w), "after": F.lead("s").over(w), "at_after": F.lead("at").over(w), "rn": F.row_number().over(w).cast("bigint")}
+    )
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("cuts", [1, 40, 1024])
+def test_next_match(log, cuts):
+    got = O.next_match(log, ["k"], "at", F.col("s") == "error", "nxt", cuts=cuts)
+    hits = {}
+    for r in log.collect():
+        if r.s == "error" and r.at is not None:
+            hits.setdefault(r.k, []).append(r.at)
+    assert got.count() == log.count()
+    for r in got.collect():
+        later = [] if r.at is None else [at for at in hits.get(r.k, ()) if at > r.at]
         assert r.nxt == (min(later) if later else None)
 
 
-@pytest.mark.parametrize("seconds", [3600, 86400 * 2])
-def test_running_sum(log, seconds):
-    plain = O.running_sum(log, ["k"], "at", "v", "total", hot=[])
-    sliced = O.running_sum(log, ["k"], "at", "v", "total", hot=all_hashes(log), slice_seconds=seconds)
-    assert rows(plain) == rows(sliced)
-
-
-def test_hot_keys_are_found_and_bounded(log):
-    found = S.hot_hashes(log, ["k"], small_rows=500)
-    assert found == all_hashes(log.where("k = 'hot'"))
-    assert S.hot_hashes(log, ["k"]) == []
-    assert S.hot_hashes(log.where("false"), ["k"]) == []
-
-
-def test_salted_join_equals_plain_join(log):
-    left = log.select("k", F.col("at").alias("a"), F.col("i").alias("x"))
-    right = log.where("s = 'error'").select("k", F.col("at").alias("b"), F.col("i").alias("y"))
-    residual = F.col("b") > F.col("a")
-    plain = S.salted_join(left, right, ["k"], residual, [])
-    salted = S.salted_join(left, right, ["k"], residual, all_hashes(log.where("k = 'hot'")), salts=7)
-    assert plain.count() > 1000
-    assert rows(plain) == rows(salted)
+@pytest.mark.parametrize("cuts", [1, 40, 1024])
+def test_running_sum(log, cuts):
+    got = O.running_sum(log, ["k"], "at", "v", "total", cuts=cuts)
+    w = W.partitionBy("k").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    assert rows(got) == rows(log.withColumn("total", F.sum("v").over(w)))
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_running(log, reverse, inclusive):
+    kinds = {"total": ("sum", "v"), "least": ("min", "v"), "most": ("max", F.col("v") + 1), "x": ("bit_xor", F.xxhash64("i"))}
+    got = O.running(log, ["k"], ["at", "i"], kinds, reverse=reverse, inclusive=inclusive, cuts=64)
+    turned = [F.col(c).desc() if reverse else F.col(c).asc() for c in ("at", "i")]
+    w = W.partitionBy("k").orderBy(*turned).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    want = log.withColumns({"total": F.sum("v").over(w), "least": F.min("v").over(w), "most": F.max(F.col("v") + 1).over(w), "x": F.bit_xor(F.xxhash64("i")).over(w)})
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("kind", ["one key", "instant"])
+def test_a_key_with_all_rows_is_spread(spark, kind):
+    log = spark.createDataFrame(made(kind), SCHEMA)
+    sizes = [r["count"] for r in O.sliced(log, ["k"], ["at", "s", "i"], 256).groupBy("_slice").count().collect()]
+    assert len(sizes) == 257 and max(sizes) < 3000 / 20
+    # equal rows give one cut point
+    alike = log.select(F.lit("x").alias("k"), F.lit(START).alias("at"))
+    assert O.sliced(alike, ["k"], ["at"], 64).select("_slice").distinct().count() == 1
+
+
+def test_slices_follow_a_prefix_of_the_order(log):
+    early = O.sliced(log, ["k"], ["at"], 64)
+    got = O.neighbours(early, ["k"], ["at", "s", "i"], previous={"i": "before"}, sequence="rn")
+    assert rows(got) == rows(O.neighbours(log, ["k"], ["at", "s", "i"], previous={"i": "before"}, sequence="rn", cuts=1))
+
+
+def test_building_starts_no_job(spark, log):
+    context = spark.sparkContext
+    context.setJobGroup("building", "")
+    try:
+        O.neighbours(log, ["k"], ["at", "s", "i"], previous={"s": "before"}, sequence="rn")
+        O.running_sum(log, ["k"], "at", "v", "total")
+        O.next_match(log, ["k"], "at", F.col("s") == "error", "nxt")
+        assert not context.statusTracker().getJobIdsForGroup("building")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("cuts", [1, 30, 1024])
+@pytest.mark.parametrize("min_days", [None, 1, 3])
+def test_later_pairs(log, cuts, min_days):
+    starts, ends = F.col("s") == "a", F.col("s") == "error"
+    few = log.where("i % 3 = 0")
+    got = P.later_pairs(few, ["k"], "at", {"at": "a", "i": "x"}, {"at": "b", "i": "y"}, is_first=starts, is_again=ends, min_days=min_days, cuts=cuts)
+    local = [r for r in few.collect() if r.k is not None and r.at is not None]
+    by_key = {}
+    for r in local:
+        if r.s == "error":
+            by_key.setdefault(r.k, []).append(r)
+    want = [
+        (r.at, q.at, r.k, r.i, q.i) for r in local if r.s == "a" for q in by_key.get(r.k, ())
+        if q.at > r.at and (min_days is None or (q.at.date() - r.at.date()).days >= min_days)
+    ]
+    assert rows(got) == sorted(want, key=str)
 
 
 def test_with_missing_is_a_left_join(spark):

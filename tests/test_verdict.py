@@ -1,11 +1,10 @@
-"""NULL keys and times on the sliced path, zone-free durations, and the plain-text test before JSON is parsed."""
+"""NULL keys and times in cut keys, zone-free durations, and the plain-text test before JSON is parsed."""
 
 import pytest
 from bizlake.functions.changes import may_hold, new_value
 from bizlake.functions.time import elapsed_hours, second_of_day
 from bizlake.operators.keys import first_per_key
 from bizlake.operators.ordered import neighbours, next_match, running_sum
-from bizlake.operators.skew import key_hash
 from pyspark.sql import functions as F
 
 
@@ -16,14 +15,13 @@ def rows(spark):
     return spark.createDataFrame(data, text).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def test_hot_keys_lose_no_nulls(rows):
-    hot = [r[0] for r in rows.select(key_hash(["k"])).distinct().collect()]
+def test_cut_keys_lose_no_nulls(rows):
     for run in (
-        lambda hot: neighbours(rows, ["k"], ["ts", "id"], previous={"v": "before"}, following={"v": "after"}, sequence="n", hot=hot),
-        lambda hot: next_match(rows, ["k"], "ts", F.col("v") % 2 == 1, "next", hot=hot),
-        lambda hot: running_sum(rows, ["k"], "ts", "v", "total", hot=hot),
+        lambda cuts: neighbours(rows, ["k"], ["ts", "id"], previous={"v": "before"}, following={"v": "after"}, sequence="n", cuts=cuts),
+        lambda cuts: next_match(rows, ["k"], "ts", F.col("v") % 2 == 1, "next", cuts=cuts),
+        lambda cuts: running_sum(rows, ["k"], "ts", "v", "total", cuts=cuts),
     ):
-        plain, sliced = ({r["id"]: r.asDict() for r in run(h).collect()} for h in ([], hot))
+        plain, sliced = ({r["id"]: r.asDict() for r in run(cuts).collect()} for cuts in (0, 1024))
         assert len(plain) == rows.count() and plain == sliced
 
 
