@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlake.llm import attention, chat, credentials, decontamination, jaccard, language, mixing, pii, repetition, runs, templates, toxicity
+from bizlake.llm import attention, chat, credentials, decontamination, jaccard, language, mixing, pii, repetition, runs, templates, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_chat_format": chat.op11_chat_format,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op2_decontamination": decontamination.SQL,
     "op5_line_templates": templates.SQL,
     "op11_chat_format": chat.SQL,
+    "op12_prefix_trie": trie.SQL,
 }

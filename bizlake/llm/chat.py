@@ -143,8 +143,8 @@ class _Read:
             self.loss += len(text)
             self.learned.update(text.encode())
 
-    def result(self) -> tuple:
-        return self.turns, self.said.hexdigest(), self.loss, self.learned.hexdigest(), self.chars
+    def result(self) -> list[tuple]:
+        return [(self.turns, self.said.hexdigest(), self.loss, self.learned.hexdigest(), self.chars)]
 
 
 def read_back(segments: DataFrame) -> DataFrame:

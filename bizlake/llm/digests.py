@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -20,9 +20,9 @@ def ordered_fold(
     result: str,
     begin: Callable[[], Any],
     step: Callable[..., None],
-    end: Callable[[Any], tuple],
+    end: Callable[[Any], Iterable[tuple]],
 ) -> DataFrame:
-    """``keys`` and the columns of ``result`` (DDL): for each group, ``end`` of a state that ``step`` took through its rows.
+    """``keys`` and the columns of ``result`` (DDL): for each group, the rows that ``end`` makes of a state that ``step`` took through it.
 
     Spark sorts the rows by key and ``order`` (nulls first); a task reads them as a stream and holds one batch and one
     state. One task reads a group from its first row to its last, which a digest over a whole group asks for; callers
@@ -38,14 +38,14 @@ def ordered_fold(
             for row in zip(*[batch.column(c).to_pylist() for c in own], strict=True):
                 if state is None or row[:width] != have:
                     if state is not None:
-                        done.append((*have, *end(state)))
+                        done += [(*have, *made) for made in end(state)]
                     have, state = row[:width], begin()
                 step(state, *row[width:])
             if done:
                 yield _batch(done, arrow)
                 done = []
-        if state is not None:
-            yield _batch([(*have, *end(state))], arrow)
+        if state is not None and (done := [(*have, *made) for made in end(state)]):
+            yield _batch(done, arrow)
 
     needed = list(dict.fromkeys([*keys, *order, *values]))
     return rows.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order).select(*own).mapInArrow(fold, schema)
@@ -64,4 +64,4 @@ def joined_digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
         state[0].update((text or "").encode())
         state[1] = True
 
-    return ordered_fold(rows, keys, order, [value], f"{out} string", lambda: [hashlib.sha256(), False], step, lambda s: (s[0].hexdigest(),))
+    return ordered_fold(rows, keys, order, [value], f"{out} string", lambda: [hashlib.sha256(), False], step, lambda s: [(s[0].hexdigest(),)])
