@@ -1,4 +1,4 @@
-"""Business days as arithmetic, and a bounded day table where a day must be looked up."""
+"""Business days as arithmetic, in both directions: no day table, no join, no limit on the range of dates."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ HOURS_HOLIDAYS = (
 SLA_START = date(2023, 1, 1)
 SLA_END = date(2025, 12, 31)
 
-# A day table is broadcast, so its length is limited (200 years).
+# A calendar as a table is small enough to join anywhere (200 years); the arithmetic has no such limit.
 MAX_CALENDAR_DAYS = 73_050
 
 
@@ -51,8 +51,6 @@ def business_index(d: str | Column, holidays: Sequence[date]) -> Column:
     closed = _weekday_holidays(holidays)
     if closed:
         span = (closed[-1] - closed[0]).days + 1
-        if span > MAX_CALENDAR_DAYS:
-            raise ValueError("holiday list spans too many years")
         counts, seen = [0], set(closed)
         for offset in range(span):
             counts.append(counts[-1] + (closed[0] + timedelta(days=offset) in seen))
@@ -63,6 +61,21 @@ def business_index(d: str | Column, holidays: Sequence[date]) -> Column:
     return index.cast("int")
 
 
+def business_day(index: str | Column, holidays: Sequence[date]) -> Column:
+    """The business day with a running number: the inverse of ``business_index``.
+
+    Of the closing days in their order, the i-th has ``weekdays up to it - i`` business days before it. Those with fewer than the
+    number searched lie before the day; with them added, the number counts plain weekdays, of which five make a week.
+    """
+    number = col(index).cast("bigint")
+    before = [_index_of(h, ()) - i for i, h in enumerate(_weekday_holidays(holidays), 1)]
+    if before:
+        passed = F.size(F.filter(F.from_json(F.lit(str(before)), "array<bigint>"), lambda b: b < number))
+        number = F.when(number.isNotNull(), number + passed)
+    weeks = F.floor((number - 1) / 5)
+    return F.date_add(F.lit(WEEK_MONDAY), (weeks * 2 + number - 1).cast("int"))
+
+
 def _index_of(d: date, holidays: Sequence[date]) -> int:
     """The same number for one known day."""
     n = (d - WEEK_MONDAY).days + 1
@@ -98,7 +111,7 @@ def business_calendar(
 ) -> DataFrame:
     """One row per day: ``day``, ``is_bd``, and ``bd_idx`` counted from the first day."""
     if (end - start).days >= MAX_CALENDAR_DAYS:
-        raise ValueError("calendar too long to broadcast")
+        raise ValueError("calendar too long for a table")
     days = spark.range((end - start).days + 1).select(
         F.date_add(F.lit(start), F.col("id").cast("int")).alias("day")
     )
@@ -107,19 +120,14 @@ def business_calendar(
     return indexed.select("day", is_business_day("day", holidays).alias("is_bd"), "bd_idx")
 
 
-def _lookup(df: DataFrame, idx: Column, out: str, holidays, start: date, end: date) -> DataFrame:
-    """Add the calendar's business day with running number ``idx`` (NULL when there is none)."""
-    spark = df.sparkSession
-    days = business_calendar(spark, start, end, holidays).where("is_bd").select(
-        F.col("bd_idx").alias("_idx"), F.col("day").alias(out)
-    )
-    return df.withColumn("_idx", idx).join(F.broadcast(days), "_idx", "left").drop("_idx")
-
-
-def _relative(d: Column, holidays, start: date) -> Column:
-    """Index of ``d`` counted from the calendar's first day; 0 before it."""
-    before = _index_of(start - timedelta(days=1), holidays)
-    return F.greatest(business_index(d, holidays) - before, F.lit(0))
+def _within(index: Column, holidays: Sequence[date], start: date | None, end: date | None) -> Column:
+    """The business day with a running number, NULL outside the calendar."""
+    inside = index.isNotNull()
+    if start is not None:
+        inside = inside & (index > _index_of(start - timedelta(days=1), holidays))
+    if end is not None:
+        inside = inside & (index <= _index_of(end, holidays))
+    return F.when(inside, business_day(index, holidays))
 
 
 def next_business_day(
@@ -127,12 +135,17 @@ def next_business_day(
     c: str,
     out: str,
     holidays: Sequence[date] = SLA_HOLIDAYS,
-    start: date = SLA_START,
-    end: date = SLA_END,
+    start: date | None = SLA_START,
+    end: date | None = SLA_END,
 ) -> DataFrame:
-    """First business day on or after a date; NULL past the calendar's end."""
-    idx = _relative(F.date_sub(day(c), 1), holidays, start) + 1
-    return _lookup(df, F.when(day(c).isNotNull(), idx), out, holidays, start, end)
+    """First business day on or after a date; the calendar's first one before its start, NULL past its end.
+
+    Without ``start`` or ``end`` the calendar has no such limit.
+    """
+    before = business_index(F.date_sub(day(c), 1), holidays)
+    if start is not None:
+        before = F.greatest(before, F.lit(_index_of(start - timedelta(days=1), holidays)))
+    return df.withColumn(out, F.when(day(c).isNotNull(), _within(before + 1, holidays, start, end)))
 
 
 def sla_due_date(
@@ -142,20 +155,24 @@ def sla_due_date(
     out: str,
     cutoff_hour: int = 18,
     holidays: Sequence[date] = SLA_HOLIDAYS,
-    start: date = SLA_START,
-    end: date = SLA_END,
+    start: date | None = SLA_START,
+    end: date | None = SLA_END,
 ) -> DataFrame:
     """The N-th business day after the last business day on or before the creation date.
 
     Creation at or after the cut-off counts as the next day. NULL when the calendar has
-    no business day on or before that date, or when it ends too early.
+    no business day on or before that date, or when it ends too early. Without ``start`` or
+    ``end`` the calendar has no such limit.
     """
     late = second_of_day(created) >= cutoff_hour * 3600
-    df = df.withColumn("_from", F.date_add(day(created), F.when(late, 1).otherwise(0)))
-    last = _index_of(end, holidays) - _index_of(start - timedelta(days=1), holidays)
-    base = F.nullif(F.least(_relative(F.col("_from"), holidays, start), F.lit(last)), F.lit(0))
-    idx = F.when(F.col("_from") >= F.lit(start), base + col(n_days))
-    return _lookup(df, idx, out, holidays, start, end).drop("_from")
+    since = F.date_add(day(created), F.when(late, 1).otherwise(0))
+    base = business_index(since, holidays)
+    if end is not None:
+        base = F.least(base, F.lit(_index_of(end, holidays)))
+    due = _within(base + col(n_days), holidays, start, end)
+    if start is not None:
+        due = F.when(base > _index_of(start - timedelta(days=1), holidays), due)
+    return df.withColumn(out, F.when(since.isNotNull(), due))
 
 
 def plan_sla_days(plan: str | Column, kind: str | Column) -> Column:

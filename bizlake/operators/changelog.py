@@ -10,13 +10,26 @@ from pyspark.sql import functions as F
 from bizlake.functions.changes import (
     change_pair, has_key, last_of, may_hold, new_of, new_value, old_of, snapshot_value,
 )
-from bizlake.functions.time import fmt, local_ts
+from bizlake.functions.time import fmt, local_ts, ts_lit
 from bizlake.operators.ordered import CUTS, next_instant
+from bizlake.sources.schemas import LOG_MONTH
 
 
-def log_of(log: DataFrame, *item_types: str) -> DataFrame:
-    """Rows of some entity types; the filter reaches the file scan."""
-    return log.where(F.col("item_type").isin(*item_types))
+def log_of(log: DataFrame, *item_types: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of some entity types, from one time up to another (exclusive); the filters reach the file scan.
+
+    Of a log stored by type and month (``sources.log_files``) only the folders of those types and months are listed.
+    """
+    rows = log.where(F.col("item_type").isin(*item_types))
+    if since is not None:
+        rows = rows.where(F.col("created_at") >= ts_lit(since))
+        if LOG_MONTH in log.columns:
+            rows = rows.where(F.col(LOG_MONTH) >= str(since)[:7])
+    if until is not None:
+        rows = rows.where(F.col("created_at") < ts_lit(until))
+        if LOG_MONTH in log.columns:
+            rows = rows.where(F.col(LOG_MONTH) <= str(until)[:7])
+    return rows
 
 
 def parse_once(df: DataFrame, keep: Sequence[str], **parsed: Column) -> DataFrame:

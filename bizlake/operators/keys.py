@@ -39,17 +39,34 @@ def _edge_per_key(df, keys, order, descending, nulls_flag) -> DataFrame:
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], ts: str, post_filter: Column | None = None
 ) -> DataFrame:
-    """All rows that carry the newest ``ts`` of their key (ties kept).
+    """All rows that carry the newest ``ts`` of their key (ties kept); rows without a key or ``ts`` have none.
 
     ``post_filter`` applies after the newest time is known, so a key whose newest
-    rows fail it disappears. The join key holds the time as well as the key, which
-    spreads the rows of a hot key.
+    rows fail it disappears. The rank is limited before the shuffle as well, so the input is read once
+    and a map task sends only the newest rows it has of a key.
     """
-    newest = df.groupBy(*keys).agg(F.max(ts).alias(ts))
-    rows = df.join(newest, [*keys, ts], "left_semi")
+    place = F.rank().over(W.partitionBy(*keys).orderBy(F.col(ts).desc()))
+    rows = df.dropna(subset=[*keys, ts]).withColumn("_place", place).where("_place = 1").drop("_place")
     return rows if post_filter is None else rows.where(post_filter)
 
 
+def newest_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, parts: int = 256) -> DataFrame:
+    """Mark the last row of each key in ``order``; NULL keys form a key, and of equal rows one is marked.
+
+    Every key is cut into ``parts`` by the rows' content, whatever its size: the last row of each part is found first, and
+    of those, at most ``parts`` a key, the last. A key with very many rows is so never sorted by one task, and ``df`` is
+    computed once.
+    """
+    down = [F.col(c).desc() for c in order]
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    rows = df.withColumn("_part", part)
+    rows = rows.withColumn("_first", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*down)) == 1)
+    # the parts' last rows meet; all others stay in their parts
+    rows = rows.withColumn("_part", F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_part")))
+    last = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*down)) == 1
+    return rows.withColumn(out, F.col("_first") & last).drop("_part", "_first")
+
+
 def latest_subscription(
     sales: DataFrame, subscriptions: DataFrame, plans: DataFrame
 ) -> DataFrame:

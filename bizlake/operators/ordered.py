@@ -72,18 +72,22 @@ def neighbours(
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     sequence: str | None = None,
+    totals: Mapping[str, tuple[str, str | Column]] | None = None,
     cuts: int = CUTS,
 ) -> DataFrame:
-    """Add values of the previous and the following row of the same key, and a row number from 1.
+    """Add values of the previous and the following row of the same key, a row number from 1, and aggregates over the key.
 
-    ``previous``/``following`` map source column to new column. Rows that are equal in ``order`` come in any order, so it should
+    ``previous``/``following`` map source column to new column, ``totals`` new column to (sum, min or max; value). Rows that are equal in ``order`` come in any order, so it should
     tell all rows apart that differ. NULL keys form a key, NULLs in ``order`` come first.
     """
     previous, following = dict(previous or {}), dict(following or {})
     carried = list(dict.fromkeys([*previous, *following]))
     rows = sliced(df, keys, order, cuts)
     ends = F.struct(*order, *[c for c in carried if c not in order])
-    borders = rows.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(F.min(ends).alias("_first"), F.max(ends).alias("_last"), F.count("*").alias("_n"))
+    made = {out: getattr(F, kind)(F.col(c) if isinstance(c, str) else c) for out, (kind, c) in (totals or {}).items()}
+    borders = rows.where(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(
+        F.min(ends).alias("_first"), F.max(ends).alias("_last"), F.count("*").alias("_n"), *[f.alias(out) for out, f in made.items()]
+    )
     over = W.partitionBy(*keys).orderBy(SLICE)
     borders = borders.select(
         *keys,
@@ -91,10 +95,12 @@ def neighbours(
         F.lag("_last").over(over).alias("_slice_before"),
         F.lead("_first").over(over).alias("_slice_after"),
         F.sum("_n").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_slice_skip"),
+        *[getattr(F, kind)(out).over(W.partitionBy(*keys)).alias(f"_slice_{out}") for out, (kind, _) in (totals or {}).items()],
     )
     w = W.partitionBy(*keys, SLICE).orderBy(*order)
     new = {out: F.lag(c).over(w) for c, out in previous.items()} | {out: F.lead(c).over(w) for c, out in following.items()}
-    fixed: dict[str, Column] = {}
+    new |= {out: f.over(W.partitionBy(*keys, SLICE)) for out, f in made.items()}
+    fixed = {out: F.when(F.col(SLICE) > 0, F.col(f"_slice_{out}")).otherwise(F.col(out)) for out in made}
     if previous or sequence:
         new["_slice_row"] = F.row_number().over(w)
     if following:
@@ -104,7 +110,7 @@ def neighbours(
     if sequence:
         fixed[sequence] = F.col("_slice_row").cast("bigint") + F.coalesce("_slice_skip", F.lit(0))
     done = _attach(rows.withColumns(new), borders, [*keys, SLICE]).withColumns(fixed)
-    return done.drop(SLICE, "_slice_before", "_slice_after", "_slice_skip", "_slice_row", "_slice_more")
+    return done.drop(SLICE, "_slice_before", "_slice_after", "_slice_skip", "_slice_row", "_slice_more", *[f"_slice_{out}" for out in made])
 
 
 # How a value inside a slice joins the value carried from the slices before it.

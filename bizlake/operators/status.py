@@ -16,18 +16,34 @@ START_STATUSES = ("TO_PRODUCE", "IN_PRODUCTION", "IN_QUOTATION")
 END_STATUSES = ("QUALITY", "DELIVERED")
 
 
-def status_pairs(events: DataFrame, key: str, ts: str = "at", status: str = "status", cuts: int = CUTS) -> DataFrame:
+def status_pairs(
+    events: DataFrame,
+    key: str,
+    ts: str = "at",
+    status: str = "status",
+    span: tuple[Sequence[str], Sequence[str]] | None = None,
+    cuts: int = CUTS,
+) -> DataFrame:
     """Every change from one status to a different next one, per entity.
 
     Events are ordered by (time, status). The first pair of an entity has no earlier
     pair to compare with and is dropped. Because the pair before (a, b) is (x, a),
     "differs from the pair before" is the same as a != b once x exists, so one look
     back and one look ahead in a single pass replace the self-join and the second lag.
+    With ``span`` (start stages, end stages) the same pass adds ``first_start`` and ``last_end``,
+    the entity's first time in a start stage and its last in an end stage.
     """
     rows = events.where(F.col(status).isNotNull() & (F.col(status) != ""))
+    totals = {}
+    if span is not None:
+        starts, ends = span
+        totals = {
+            "first_start": ("min", F.when(F.col(status).isin(*starts), F.col(ts))),
+            "last_end": ("max", F.when(F.col(status).isin(*ends), F.col(ts))),
+        }
     seen = neighbours(
         rows, [key], [ts, status],
-        previous={status: "_before"}, following={status: "current_status", ts: "current_at"}, cuts=cuts,
+        previous={status: "_before"}, following={status: "current_status", ts: "current_at"}, totals=totals, cuts=cuts,
     )
     return (
         seen.where(F.col("_before").isNotNull() & (F.col("current_status") != F.col(status)))

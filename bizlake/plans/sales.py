@@ -13,13 +13,13 @@ from bizlake.functions.time import day, fmt, in_zone_range, local_ts, ts_lit
 from bizlake.operators.changelog import has_text, log_of, parse_once, unpack_changes
 from bizlake.operators.cohort import ACTIVE_STATUSES
 from bizlake.operators.hours import business_hours, business_hours_case, first_response_hours
-from bizlake.operators.keys import latest_per_key
+from bizlake.operators.keys import latest_per_key, newest_flag
 from bizlake.operators.orders import last_delivery, status_date
 from bizlake.operators.pricing import alloc_factor, band_lookup
 from bizlake.operators.repurchase import repurchase
 from bizlake.operators.ordered import sliced
 from bizlake.operators.skew import with_missing
-from bizlake.operators.status import stage_span, status_pairs
+from bizlake.operators.status import END_STATUSES, START_STATUSES, status_pairs
 from bizlake.plans.common import (
     ADMIN_URL, DMY_SLASH, YMD, admins_as, articles, down, item_costs, local_text, pick, plan_rows,
     products_of, up,
@@ -452,15 +452,17 @@ def sale_item_status_times(
     first start stage to its last end stage, shown on the newest row of the article
     within the order.
     """
-    log = log_of(t.versions, "SaleItem").where(F.col("created_at") >= ts_lit(log_since))
+    log = log_of(t.versions, "SaleItem", since=log_since)
     # The slices are found on the plain columns, before anything is parsed.
     log = sliced(log.withColumn("at", local_ts("created_at")), ["item_id"], ["at"])
     events = unpack_changes(log, "status", ["sale_id"], keep=["at", "_slice"]).select(
         "item_id", "at", "_slice", F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
     ).where(has_text(F.col("status")))
-    changes = status_pairs(events, "item_id").withColumns(
+    # Pairs and spans come from one pass over the log.
+    changes = status_pairs(events, "item_id", span=(START_STATUSES, END_STATUSES)).withColumns(
         {
             "sale_item_id": F.col("item_id").cast("bigint"),
+            "working_hours": F.when(F.col("last_end") > F.col("first_start"), business_hours("first_start", "last_end")),
             # The leading apostrophe keeps spreadsheets from reading a date.
             "event_month_year": F.concat(F.lit("'"), fmt("previous_at", "yyyy-MM")),
             "case": business_hours_case("previous_at", "current_at"),
@@ -470,7 +472,8 @@ def sale_item_status_times(
     grain = ["event_month_year", "previous_status", "current_status", "previous_at", "current_at", "case"]
     if merge:
         changes = changes.groupBy(*grain).agg(
-            F.min("sale_ref").alias("sale_ref"), F.min("sale_item_id").alias("sale_item_id"), F.avg("hours").alias("hours")
+            F.min("sale_ref").alias("sale_ref"), F.min_by("working_hours", "sale_item_id").alias("working_hours"),
+            F.min("sale_item_id").alias("sale_item_id"), F.avg("hours").alias("hours"),
         )
     kind = t.sales.schema["id"].dataType
     changes = changes.withColumn("sale_id", F.col("sale_ref").cast(kind))
@@ -499,22 +502,14 @@ def sale_item_status_times(
         )
     )
     suppliers = item_costs(t).select("sale_item_id", "supplier_name")
-    spans = stage_span(events, "item_id").select(F.col("item_id").cast("bigint").alias("sale_item_id"), "working_hours")
     rows = (
         changes.join(heads.join(firms, "company_id", "left"), "sale_id")
         .join(lines, "sale_item_id", "left")
         .join(suppliers, "sale_item_id", "left")
-        .join(spans, "sale_item_id", "left")
         .withColumn("item_order", F.concat(F.col("goods_id").cast("string"), F.col("code").cast("string")))
     )
-    # Newest row of each article within the order, by aggregation rather than by a sorted window.
-    stamp = F.struct("previous_at", "current_at", "sale_item_id", "previous_status", "current_status")
-    newest = rows.groupBy("item_order").agg(F.max(stamp).alias("_newest"))
-    rows = rows.withColumn("_stamp", stamp).join(
-        newest.select(F.col("item_order").alias("_io"), "_newest"),
-        F.col("item_order").eqNullSafe(F.col("_io")) & (F.col("_stamp") == F.col("_newest")),
-        "left",
-    )
+    stamp = ["previous_at", "current_at", "sale_item_id", "previous_status", "current_status"]
+    rows = newest_flag(rows, ["item_order"], stamp, "_newest")
     before = L.map_labels("previous_status", L.SALE_ITEM_STATUS)
     after = L.map_labels("current_status", L.SALE_ITEM_STATUS)
     return rows.select(
@@ -536,7 +531,7 @@ def sale_item_status_times(
         L.quantity_band("amount").alias("faixa_unidades"),
         F.col("category").alias("categoria_produto"),
         L.rush_label("is_event", "turbo").alias("Turbo ou Evento"),
-        F.when(F.col("_newest").isNotNull(), F.col("working_hours")).alias("tempo_uteis_producao"),
+        F.when(F.col("_newest"), F.col("working_hours")).alias("tempo_uteis_producao"),
     ).orderBy(*up("codigo_venda", "previous_created_at", "current_created_at", "item_pedido"))
 
 

@@ -24,6 +24,9 @@ def _schema(text: str) -> T.StructType:
     return T.StructType(fields)
 
 
+# A change log stored by month has this column besides those of its role.
+LOG_MONTH = "log_month"
+
 # Identifiers are text here (uuid); numeric identifiers work as well, as long as both
 # sides of a join agree. Codes: l bigint, i int, b boolean, m money, r rate, t timestamp.
 ROLES: dict[str, T.StructType] = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizlake.sources.schemas import ROLES
+from bizlake.sources.schemas import LOG_MONTH, ROLES
 
 
 class Tables:
@@ -36,11 +36,13 @@ class Tables:
 
 
 def check_columns(name: str, df: DataFrame) -> DataFrame:
-    """Fail early when a role table lacks a column; keep only the role's columns."""
+    """Fail early when a role table lacks a column; keep only the role's columns, and the month of a log stored by month."""
     wanted = [field.name for field in ROLES[name].fields]
     missing = sorted(set(wanted) - set(df.columns))
     if missing:
         raise ValueError(f"table {name!r} lacks columns {missing}")
+    if name == "versions" and LOG_MONTH in df.columns:
+        wanted.append(LOG_MONTH)
     zoned = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in zoned else F.col(c) for c in wanted])
 

@@ -83,3 +83,21 @@ def test_long_calendar_is_refused(spark):
 
     with pytest.raises(ValueError):
         C.business_calendar(spark, date(1900, 1, 1), date(2200, 1, 1))
+
+
+def test_business_day_inverts_the_index_at_any_date(spark):
+    days = spark.range(200_000).select(F.date_add(F.lit(date(1800, 1, 1)), F.col("id").cast("int")).alias("d"))
+    for holidays in ((), C.SLA_HOLIDAYS, C.HOURS_HOLIDAYS, (date(1900, 1, 1), date(2300, 12, 31), date(2024, 1, 1))):
+        found = days.where(C.is_business_day("d", holidays)).select("d", C.business_day(C.business_index("d", holidays), holidays).alias("e"))
+        assert found.where("d <> e OR e IS NULL").count() == 0
+    assert spark.range(1).select(C.business_day(F.lit(None).cast("int"), C.SLA_HOLIDAYS)).first()[0] is None
+
+
+def test_due_dates_without_a_calendar_end(spark):
+    df = spark.createDataFrame([("2031-05-02 19:00:00", 3), ("1990-01-06 08:00:00", 1), (None, 1)], "t string, n int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = C.sla_due_date(df, "t", F.col("n"), "due", start=None, end=None)
+    assert [str(r.due) for r in got.collect()] == ["2031-05-07", "1990-01-08", "None"]
+    late = C.next_business_day(df, "t", "d", start=None, end=None)
+    assert [str(r.d) for r in late.collect()] == ["2031-05-02", "1990-01-08", "None"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

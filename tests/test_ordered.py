@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bizlake.operators import keys as K
 from bizlake.operators import ordered as O
 from bizlake.operators import pairs as P
+from bizlake.operators import ranges as R
 from bizlake.operators import skew as S
+from bizlake.operators import status as T
 
 START = datetime(2024, 1, 1)
 SCHEMA = "i int, k string, at timestamp_ntz, s string, v int"
@@ -75,6 +78,67 @@ def test_running(log, reverse, inclusive):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("cuts", [1, 1024])
+def test_totals(log, cuts):
+    got = O.neighbours(log, ["k"], ["at", "i"], previous={"v": "before"}, totals={"n": ("sum", "v"), "low": ("min", F.when(F.col("s") == "a", F.col("at"))), "high": ("max", "at")}, cuts=cuts)
+    w, key = W.partitionBy("k").orderBy("at", "i"), W.partitionBy("k")
+    want = log.withColumns({"before": F.lag("v").over(w), "n": F.sum("v").over(key), "low": F.min(F.when(F.col("s") == "a", F.col("at"))).over(key), "high": F.max("at").over(key)})
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_newest_flag(log, parts):
+    got = K.newest_flag(log, ["k"], ["at", "s", "i"], "newest", parts)
+    last = F.row_number().over(W.partitionBy("k").orderBy(F.col("at").desc(), F.col("s").desc(), F.col("i").desc())) == 1
+    assert rows(got) == rows(log.withColumn("newest", last))
+    alike = K.newest_flag(log.select("k"), ["k"], ["k"], "newest", parts)
+    assert alike.where("newest").count() == log.select("k").distinct().count()
+
+
+def test_latest_per_key_reads_once(log):
+    got = K.latest_per_key(log, ["k"], "at", F.col("v") > 10)
+    newest = {}
+    for r in log.collect():
+        if r.k is not None and r.at is not None:
+            newest[r.k] = max(newest.get(r.k, r.at), r.at)
+    want = [tuple(r[c] for c in sorted(log.columns)) for r in log.collect() if r.k is not None and r.at is not None and r.at == newest[r.k] and r.v > 10]
+    assert rows(got) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1 and "WindowGroupLimit" in plan
+
+
+def test_next_end(log):
+    got = T.next_end(log, "k", status="s", starts=("a",), ends=("error", "b"), cuts=50)
+    ends = {}
+    for r in log.collect():
+        if r.s != "a" and r.at is not None:
+            ends.setdefault(r.k, []).append((r.at, r.s))
+    want = set()
+    for r in log.collect():
+        if r.s == "a" and r.at is not None:
+            later = [e for e in ends.get(r.k, ()) if e[0] > r.at]
+            want.add((r.k, r.at, *(min(later) if later else (None, None))))
+    assert {(r.k, r.started_at, r.ended_at, r.end_status) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_range_join_and_count(spark):
+    rng = random.Random(4)
+    points = [(i, rng.choice(["a", "b", None]), rng.choice([None, 5.0, 5.0, rng.uniform(-50, 50)])) for i in range(300)]
+    spans = [(i, rng.choice(["a", "b", None]), *rng.choice([(None, 3.0), (9.0, 1.0), (5.0, 5.0), (-40.0, 40.0), (lambda x: (x, x + rng.uniform(0, 30)))(rng.uniform(-50, 50))])) for i in range(200)]
+    p = spark.createDataFrame(points, "p int, k string, x double")
+    r = spark.createDataFrame(spans, "r int, k string, low double, high double")
+    for keys in ([], ["k"]):
+        hits = [(q[0], s[0]) for q in points for s in spans if q[2] is not None and s[2] is not None and s[2] <= q[2] <= s[3] and (not keys or (q[1] is not None and q[1] == s[1]))]
+        for width in (3, 1000):
+            left = p if keys else p.drop("k")
+            got = R.range_join(left, r, "x", "low", "high", width, keys)
+            assert sorted((g.p, g.r) for g in got.collect()) == sorted(hits)
+            counted = R.range_count(r, left, "x", "low", "high", width, "n", keys)
+            assert {g.r: g.n for g in counted.collect()} == {s[0]: sum(h[1] == s[0] for h in hits) for s in spans}
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("kind", ["one key", "instant"])
 def test_a_key_with_all_rows_is_spread(spark, kind):
     log = spark.createDataFrame(made(kind), SCHEMA)
