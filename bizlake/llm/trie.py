@@ -230,9 +230,10 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, whole: int = WHOLE) -> DataF
     nodes = written(trie_nodes(convs, rows), "nodes")
     sums = written(rolled_up(nodes, rows, whole), "sums")
     # the root's sums are those of all trees; a trie of the root alone is a leaf
-    tops = nodes.where("depth = 1").select("conv_id", "depth").join(sums, ["conv_id", "depth"])
-    root = tops.agg(*[F.coalesce(F.sum(c), F.lit(1 if c == "n_leaves" else 0)).cast("bigint").alias(c) for c in SUMS])
-    root = nodes.where("depth = 0").select("conv_id", "depth").withColumn("_one", F.lit(1)).join(root.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    tops = nodes.where("depth = 1").select("conv_id", "depth").join(sums, ["conv_id", "depth"]).select(F.lit(None).cast("bigint").alias("conv_id"), *SUMS)
+    alone = nodes.where("depth = 0").select("conv_id", *[F.lit(0).cast("bigint").alias(c) for c in SUMS])
+    root = alone.unionByName(tops).agg(F.max("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in SUMS]).where(F.col("conv_id").isNotNull())
+    root = root.select("conv_id", F.lit(0).cast("bigint").alias("depth"), F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), "saved_tokens")
     done = nodes.join(sums.unionByName(root), ["conv_id", "depth"])
     return done.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
