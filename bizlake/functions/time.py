@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
+from functools import cache
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,20 +30,58 @@ def ts_lit(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+@cache
+def settled_offset(zone: str) -> tuple[datetime, timedelta] | None:
+    """Since when (UTC) a zone has kept one offset from UTC, and that offset; None if it still changes clocks.
+
+    The offset is looked at every week up to 2100; a change is taken to lie in the week before the first different one.
+    """
+    at, week = datetime(2100, 1, 1, tzinfo=timezone.utc), timedelta(days=7)
+    offset = at.astimezone(ZoneInfo(zone)).utcoffset()
+    while at.year >= 1970 and at.astimezone(ZoneInfo(zone)).utcoffset() == offset:
+        at -= week
+    since = (at + week).replace(tzinfo=None)
+    return (since, offset) if since.year < 2090 else None
+
+
+def _shifted(c: Column, offset: timedelta) -> Column:
+    return c + F.make_dt_interval(secs=F.lit(int(offset.total_seconds())))
+
+
 def local_ts(c: str | Column, zone: str = DEFAULT_ZONE, mode: str = "utc_to_local") -> Column:
-    """UTC to local wall time; ``assume_local`` reads the value as local and returns UTC."""
-    if mode == "utc_to_local":
-        return F.convert_timezone(F.lit("UTC"), F.lit(zone), col(c))
-    if mode == "assume_local":
-        return F.convert_timezone(F.lit(zone), F.lit("UTC"), col(c))
-    raise ValueError(f"unknown mode {mode!r}")
+    """UTC to local wall time; ``assume_local`` reads the value as local and returns UTC.
+
+    Since a zone keeps one offset, times are shifted by it; the zone's rules, which cost many times as much, are asked for
+    earlier times only.
+    """
+    if mode not in ("utc_to_local", "assume_local"):
+        raise ValueError(f"unknown mode {mode!r}")
+    utc, here, c = F.lit("UTC"), F.lit(zone), col(c).cast("timestamp_ntz")
+    back = mode == "assume_local"
+    by_rule = F.convert_timezone(here, utc, c) if back else F.convert_timezone(utc, here, c)
+    settled = settled_offset(zone)
+    if settled is None:
+        return by_rule
+    since, offset = settled
+    if back:  # the wall times of the first days could belong to either offset
+        since, offset = since + timedelta(days=2), -offset
+    return F.when(c >= ts_lit(str(since)), _shifted(c, offset)).otherwise(by_rule)
+
+
+def micros_of_day(c: str | Column) -> Column:
+    """Microseconds since midnight of the wall time, whatever the session's zone.
+
+    The time since midnight as an interval, counted in millionths: an interval gives whole seconds only.
+    """
+    c = col(c).cast("timestamp_ntz")
+    since = c - c.cast("date").cast("timestamp_ntz")
+    return (since * F.lit(1_000_000)).cast("interval second").cast("bigint")
 
 
 def micros(c: str | Column) -> Column:
     """Microseconds of the wall time since 1970, whatever the session's zone."""
     c = col(c).cast("timestamp_ntz")
-    seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000
-    return F.unix_date(c.cast("date")).cast("bigint") * MICROS_PER_DAY + seconds + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.unix_date(c.cast("date")).cast("bigint") * MICROS_PER_DAY + micros_of_day(c)
 
 
 def elapsed_hours(start: str | Column, end: str | Column) -> Column:
@@ -54,7 +94,7 @@ def elapsed_days(start: str | Column, end: str | Column) -> Column:
 
 def second_of_day(c: str | Column) -> Column:
     """Fractional seconds since midnight, for comparisons with a time of day."""
-    return F.pmod(micros(c), F.lit(MICROS_PER_DAY)) / F.lit(1_000_000.0)
+    return micros_of_day(c) / F.lit(1_000_000.0)
 
 
 def day(c: str | Column) -> Column:

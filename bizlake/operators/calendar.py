@@ -65,13 +65,20 @@ def business_day(index: str | Column, holidays: Sequence[date]) -> Column:
     """The business day with a running number: the inverse of ``business_index``.
 
     Of the closing days in their order, the i-th has ``weekdays up to it - i`` business days before it. Those with fewer than the
-    number searched lie before the day; with them added, the number counts plain weekdays, of which five make a week.
+    number searched lie before the day; with them added, the number counts plain weekdays, of which five make a week. How
+    many those are is looked up in one running count per business day of the list's span.
     """
     number = col(index).cast("bigint")
     before = [_index_of(h, ()) - i for i, h in enumerate(_weekday_holidays(holidays), 1)]
     if before:
-        passed = F.size(F.filter(F.from_json(F.lit(str(before)), "array<bigint>"), lambda b: b < number))
-        number = F.when(number.isNotNull(), number + passed)
+        counts, passed = [], 0
+        for n in range(before[0], before[-1] + 2):
+            while passed < len(before) and before[passed] < n:
+                passed += 1
+            counts.append(passed)
+        at = F.least(F.greatest(number - before[0], F.lit(0)), F.lit(len(counts) - 1)).cast("int")
+        # The text is parsed once, when the plan is optimised.
+        number = number + F.get(F.from_json(F.lit(str(counts)), "array<int>"), at)
     weeks = F.floor((number - 1) / 5)
     return F.date_add(F.lit(WEEK_MONDAY), (weeks * 2 + number - 1).cast("int"))
 
@@ -145,7 +152,9 @@ def next_business_day(
     before = business_index(F.date_sub(day(c), 1), holidays)
     if start is not None:
         before = F.greatest(before, F.lit(_index_of(start - timedelta(days=1), holidays)))
-    return df.withColumn(out, F.when(day(c).isNotNull(), _within(before + 1, holidays, start, end)))
+    # A column of its own, so that the index is computed once a row.
+    rows = df.withColumn("_index", F.when(day(c).isNotNull(), before + 1))
+    return rows.withColumn(out, _within(F.col("_index"), holidays, start, end)).drop("_index")
 
 
 def sla_due_date(
@@ -168,11 +177,13 @@ def sla_due_date(
     since = F.date_add(day(created), F.when(late, 1).otherwise(0))
     base = business_index(since, holidays)
     if end is not None:
-        base = F.least(base, F.lit(_index_of(end, holidays)))
-    due = _within(base + col(n_days), holidays, start, end)
+        base = F.least(base, F.when(since.isNotNull(), F.lit(_index_of(end, holidays))))
+    # Columns of their own, so that each index is computed once a row.
+    rows = df.withColumn("_base", base)
+    index = F.col("_base") + col(n_days)
     if start is not None:
-        due = F.when(base > _index_of(start - timedelta(days=1), holidays), due)
-    return df.withColumn(out, F.when(since.isNotNull(), due))
+        index = F.when(F.col("_base") > _index_of(start - timedelta(days=1), holidays), index)
+    return rows.withColumn("_index", index).withColumn(out, _within(F.col("_index"), holidays, start, end)).drop("_base", "_index")
 
 
 def plan_sla_days(plan: str | Column, kind: str | Column) -> Column:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlake.functions.time import MICROS_PER_HOUR, col, day, elapsed_hours, micros, second_of_day
+from bizlake.functions.time import MICROS_PER_HOUR, col, day, micros_of_day
 from bizlake.operators.calendar import HOURS_HOLIDAYS, business_index
 
 OPEN_HOUR = 9
@@ -20,27 +21,51 @@ CLOSE_HOUR = 18
 HOUR = float(MICROS_PER_HOUR)
 
 
-def _hour_of_day(c: Column) -> Column:
-    """Fractional hours since midnight."""
-    return F.pmod(micros(c), F.lit(24 * MICROS_PER_HOUR)) / F.lit(HOUR)
+class Moment(NamedTuple):
+    """A time as the formulas need it: its day, and the microseconds since midnight."""
+
+    day: Column
+    micros: Column
+
+
+def moment(c: str | Column | Moment) -> Moment:
+    return c if isinstance(c, Moment) else Moment(day(c), micros_of_day(c))
+
+
+def with_moments(df: DataFrame, *names: str) -> tuple[DataFrame, list[Moment]]:
+    """``df`` with the moments of time columns as columns of their own, so that several formulas share them.
+
+    Inside one formula the parts of a time are written out wherever they are used; shared columns keep the generated
+    code small enough to be compiled.
+    """
+    made = {f"_{kind}_{n}": part for n in names for kind, part in zip(Moment._fields, moment(n), strict=True)}
+    return df.withColumns(made), [Moment(F.col(f"_day_{n}"), F.col(f"_micros_{n}")) for n in names]
 
 
 def _full_days(t1: Column, t2: Column, holidays: Sequence[date]) -> Column:
     """Business days strictly between the two dates."""
-    return business_index(F.date_sub(day(t2), 1), holidays) - business_index(day(t1), holidays)
+    return business_index(F.date_sub(t2, 1), holidays) - business_index(t1, holidays)
 
 
 def _parts(t1, t2, open_hour, close_hour):
-    start, end = col(t1), col(t2)
-    gap = F.datediff(day(end), day(start))
-    since_open = _hour_of_day(end) - open_hour
-    until_close = F.lit(float(close_hour)) - _hour_of_day(start)
+    start, end = moment(t1), moment(t2)
+    gap = F.datediff(end.day, start.day)
+    since_open = end.micros / F.lit(HOUR) - open_hour
+    until_close = F.lit(float(close_hour)) - start.micros / F.lit(HOUR)
     return start, end, gap, since_open, until_close
 
 
+def _on_one_day(start: Moment, end: Moment) -> Column:
+    return (end.micros - start.micros) / F.lit(HOUR)
+
+
+def _hour(t: Moment) -> Column:
+    return F.floor(t.micros / MICROS_PER_HOUR)
+
+
 def business_hours(
-    t1: str | Column,
-    t2: str | Column,
+    t1: str | Column | Moment,
+    t2: str | Column | Moment,
     open_hour: int = OPEN_HOUR,
     close_hour: int = CLOSE_HOUR,
     hours_per_day: int = 9,
@@ -48,17 +73,17 @@ def business_hours(
 ) -> Column:
     """Variant 1: elapsed on one day, else opening-to-end plus start-to-closing plus full days."""
     start, end, gap, since_open, until_close = _parts(t1, t2, open_hour, close_hour)
-    in_hours = second_of_day(start) <= close_hour * 3600
+    in_hours = start.micros <= close_hour * MICROS_PER_HOUR
     first_day = F.when(in_hours, until_close).otherwise(F.lit(0.0))
-    full = F.when(gap > 1, _full_days(start, end, holidays) * hours_per_day).otherwise(F.lit(0))
-    return F.when(gap == 0, elapsed_hours(start, end)).when(gap > 0, since_open + first_day + full)
+    full = F.when(gap > 1, _full_days(start.day, end.day, holidays) * hours_per_day).otherwise(F.lit(0))
+    return F.when(gap == 0, _on_one_day(start, end)).when(gap > 0, since_open + first_day + full)
 
 
-def business_hours_case(t1: str | Column, t2: str | Column, close_hour: int = CLOSE_HOUR) -> Column:
+def business_hours_case(t1: str | Column | Moment, t2: str | Column | Moment, close_hour: int = CLOSE_HOUR) -> Column:
     """Branch code of variant 1: 1/2 same day, 4/3 next day, 6/5 later (before/after closing)."""
-    start, end = col(t1), col(t2)
-    gap = F.datediff(day(end), day(start))
-    in_hours = second_of_day(start) <= close_hour * 3600
+    start, end = moment(t1), moment(t2)
+    gap = F.datediff(end.day, start.day)
+    in_hours = start.micros <= close_hour * MICROS_PER_HOUR
     return (
         F.when(gap == 0, F.when(in_hours, 1).otherwise(2))
         .when(gap == 1, F.when(in_hours, 4).otherwise(3))
@@ -67,8 +92,8 @@ def business_hours_case(t1: str | Column, t2: str | Column, close_hour: int = CL
 
 
 def clock_hours(
-    t1: str | Column,
-    t2: str | Column,
+    t1: str | Column | Moment,
+    t2: str | Column | Moment,
     open_hour: int = OPEN_HOUR,
     close_hour: int = CLOSE_HOUR,
     hours_per_day: int = 14,
@@ -77,18 +102,18 @@ def clock_hours(
     """Variant 2, on whole clock hours: the next day counts from opening only, and no elapsed
     time on one day gives NULL."""
     start, end, gap, since_open, until_close = _parts(t1, t2, open_hour, close_hour)
-    full = _full_days(start, end, holidays) * hours_per_day
-    later = since_open + full + F.when(F.hour(start) >= close_hour, F.lit(0.0)).otherwise(until_close)
-    same = F.nullif(elapsed_hours(start, end), F.lit(0.0))
+    full = _full_days(start.day, end.day, holidays) * hours_per_day
+    later = since_open + full + F.when(_hour(start) >= close_hour, F.lit(0.0)).otherwise(until_close)
+    same = F.nullif(_on_one_day(start, end), F.lit(0.0))
     return F.when(gap == 0, same).when(gap == 1, since_open).when(gap > 1, later)
 
 
-def clock_hours_case(t1: str | Column, t2: str | Column, close_hour: int = CLOSE_HOUR) -> Column:
+def clock_hours_case(t1: str | Column | Moment, t2: str | Column | Moment, close_hour: int = CLOSE_HOUR) -> Column:
     """Branch code of variant 2; the hour of closing counts as before closing on the first day,
     as after closing from the next day on."""
-    start, end = col(t1), col(t2)
-    gap = F.datediff(day(end), day(start))
-    h = F.hour(start)
+    start, end = moment(t1), moment(t2)
+    gap = F.datediff(end.day, start.day)
+    h = _hour(start)
     return (
         F.when(gap == 0, F.when(h <= close_hour, 1).otherwise(2))
         .when(gap == 1, F.when(h >= close_hour, 3).otherwise(4))
@@ -108,12 +133,12 @@ def first_response_hours(
     """Variant 3, over aggregated times: NULL when the first valid answer precedes the request,
     never negative on one day, and start-to-closing always counts from the second day after."""
     start, end, gap, since_open, until_close = _parts(asked, answered, open_hour, close_hour)
-    in_hours = second_of_day(start) <= close_hour * 3600
+    in_hours = start.micros <= close_hour * MICROS_PER_HOUR
     next_day = since_open + F.when(in_hours, until_close).otherwise(F.lit(0.0))
-    later = since_open + until_close + _full_days(start, end, holidays) * hours_per_day
+    later = since_open + until_close + _full_days(start.day, end.day, holidays) * hours_per_day
     return (
-        F.when(col(first_valid) < start, F.lit(None).cast("double"))
-        .when(gap == 0, F.greatest(elapsed_hours(start, end), F.lit(0.0)))
+        F.when(col(first_valid) < col(asked), F.lit(None).cast("double"))
+        .when(gap == 0, F.greatest(_on_one_day(start, end), F.lit(0.0)))
         .when(gap == 1, next_day)
         .when(gap > 1, later)
     )

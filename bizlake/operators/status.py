@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlake.operators.hours import business_hours
+from bizlake.operators.hours import business_hours, with_moments
 from bizlake.operators.ordered import CUTS, neighbours, next_instant
 from bizlake.operators.pairs import later_pairs
 
@@ -70,7 +70,8 @@ def stage_lead_time(
         rows, [key], ts, {status: "start_status", ts: "started_at"}, {status: "end_status", ts: "ended_at"},
         is_first=F.col(status).isin(*starts), is_again=F.col(status).isin(*ends), cuts=cuts,
     )
-    return pairs.withColumn("working_hours", business_hours("started_at", "ended_at"))
+    pairs, (start, end) = with_moments(pairs, "started_at", "ended_at")
+    return pairs.withColumn("working_hours", business_hours(start, end)).select(key, "start_status", "started_at", "end_status", "ended_at", "working_hours")
 
 
 def next_end(

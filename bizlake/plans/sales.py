@@ -12,7 +12,7 @@ from bizlake.functions.text import concat_skip_null, string_agg_distinct
 from bizlake.functions.time import day, fmt, in_zone_range, local_ts, ts_lit
 from bizlake.operators.changelog import has_text, log_of, parse_once, unpack_changes
 from bizlake.operators.cohort import ACTIVE_STATUSES
-from bizlake.operators.hours import business_hours, business_hours_case, first_response_hours
+from bizlake.operators.hours import business_hours, business_hours_case, first_response_hours, with_moments
 from bizlake.operators.keys import latest_per_key, newest_flag
 from bizlake.operators.orders import last_delivery, status_date
 from bizlake.operators.pricing import alloc_factor, band_lookup
@@ -459,14 +459,16 @@ def sale_item_status_times(
         "item_id", "at", "_slice", F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
     ).where(has_text(F.col("status")))
     # Pairs and spans come from one pass over the log.
-    changes = status_pairs(events, "item_id", span=(START_STATUSES, END_STATUSES)).withColumns(
+    changes = status_pairs(events, "item_id", span=(START_STATUSES, END_STATUSES))
+    changes, (before, after, first, last) = with_moments(changes, "previous_at", "current_at", "first_start", "last_end")
+    changes = changes.withColumns(
         {
             "sale_item_id": F.col("item_id").cast("bigint"),
-            "working_hours": F.when(F.col("last_end") > F.col("first_start"), business_hours("first_start", "last_end")),
+            "working_hours": F.when(F.col("last_end") > F.col("first_start"), business_hours(first, last)),
             # The leading apostrophe keeps spreadsheets from reading a date.
             "event_month_year": F.concat(F.lit("'"), fmt("previous_at", "yyyy-MM")),
-            "case": business_hours_case("previous_at", "current_at"),
-            "hours": business_hours("previous_at", "current_at"),
+            "case": business_hours_case(before, after),
+            "hours": business_hours(before, after),
         }
     )
     grain = ["event_month_year", "previous_status", "current_status", "previous_at", "current_at", "case"]

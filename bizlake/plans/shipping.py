@@ -15,7 +15,7 @@ from bizlake.operators.calendar import (
 )
 from bizlake.operators.changelog import error_episodes, first_promise, first_transition, has_text, log_of, unpack_changes
 from bizlake.operators.cohort import company_plans
-from bizlake.operators.hours import clock_hours, clock_hours_case
+from bizlake.operators.hours import clock_hours, clock_hours_case, with_moments
 from bizlake.operators.orders import late_for_client, late_for_operation, share_of_total
 from bizlake.operators.ordered import sliced
 from bizlake.operators.skew import with_missing
@@ -289,11 +289,12 @@ def shipping_status_times(
     ).where(has_text(F.col("status")))
     # Orders meet the log on the key the pairs need anyway, so one shuffle serves both.
     changes = status_pairs(events.join(orders, "item_id"), "item_id")
+    changes, (start, end) = with_moments(changes, "previous_at", "current_at")
     changes = changes.withColumns(
         {
             "event_month_year": fmt("previous_at", "yyyy-MM"),
-            "hours_between_status_case": clock_hours_case("previous_at", "current_at"),
-            "hours": clock_hours("previous_at", "current_at"),
+            "hours_between_status_case": clock_hours_case(start, end),
+            "hours": clock_hours(start, end),
         }
     )
     grain = ["event_month_year", "previous_status", "current_status", "previous_at", "current_at", "hours_between_status_case"]

@@ -4,6 +4,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bizlake.operators import hours as H
 
 
@@ -62,3 +64,24 @@ def test_first_response(spark):
     got = {r.i: r.h for r in df.select("i", H.first_response_hours("a", "b", "v").alias("h")).collect()}
     for i, row in enumerate(V3):
         assert got[i] == (None if row[3] is None else pytest.approx(row[3])), row
+
+
+def test_local_times_follow_the_zone_rules(spark):
+    from bizlake.functions import time as TM
+
+    days = spark.range(0, 3 * 45_000).select((F.lit("1980-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") * 3).cast("int"))).alias("t"))
+    for zone in ("America/Sao_Paulo", "America/New_York", "Asia/Kolkata", "UTC"):
+        utc, here = F.lit("UTC"), F.lit(zone)
+        got = days.select("t", TM.local_ts("t", zone).alias("a"), TM.local_ts("t", zone, "assume_local").alias("b"), F.convert_timezone(utc, here, "t").alias("x"), F.convert_timezone(here, utc, "t").alias("y"))
+        assert got.where("NOT (a <=> x AND b <=> y)").count() == 0
+    assert TM.settled_offset("America/Sao_Paulo") is not None and TM.settled_offset("America/New_York") is None
+
+
+def test_micros_are_exact(spark):
+    from bizlake.functions import time as TM
+
+    texts = ["1969-12-31 23:59:59.999999", "0001-01-01 00:00:00.000001", "2024-02-29 18:00:00.250001", "9999-12-31 23:59:59.999999"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", F.col("x").cast("timestamp_ntz").alias("t"))
+    for r in rows.select("t", TM.micros("t").alias("m"), TM.micros_of_day("t").alias("d")).collect():
+        since = r.t - datetime(1970, 1, 1)
+        assert r.m == (since.days * 86400 + since.seconds) * 1_000_000 + since.microseconds and r.d == r.m % 86_400_000_000
