@@ -32,6 +32,23 @@ def test_stages_keep_columns_and_rows(spark, hard, empty):
                 assert out.columns == table.columns
 
 
+NAMES = ["rules", "n_lines", "n_dropped", "_text_hash", "_doc", "_hash", "_text_id", "row", "text_id", "h", "hash", "id", "_lines", "x.y", "template", "size"]
+
+
+def test_clashing_columns_keep_their_values(spark, hard):
+    docs = hard.select("doc_id", "text", "lang", "source").selectExpr("*", *[f"concat('{n} of ', coalesce(cast(doc_id AS string), 'none')) AS `{n}`" for n in NAMES])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns + (["copies", "taken"] if name == "mixing" else [])
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            own = "none" if r["doc_id"] is None else r["doc_id"]
+            assert [r[n] for n in NAMES] == [f"{n} of {own}" for n in NAMES], name
+        want = {(r["doc_id"], r["lang"], r["source"]) for r in docs.collect()}
+        assert {(r["doc_id"], r["lang"], r["source"]) for r in rows} <= want
+
+
 def test_near_duplicates_keep_one(spark, hard):
     kept = corpus_pipeline.near_duplicates(spark, hard, SF).collect()
     ids = [r["doc_id"] for r in kept]
