@@ -171,46 +171,55 @@ register_roles(
     ),
 )(sales.sales_ledger)
 
+STATUS_TIMES_SQL = over(
+    "versions sales companies sale_items customer_products products product_categories sale_item_production_infos suppliers",
+    f"""WITH ev AS (
+        SELECT cast(item_id AS bigint) AS k, {loc("created_at")} AS "at", object::json->>'sale_id' AS ref,
+            coalesce(object_changes::json->'status'->>1, object::json->>'status') AS st
+        FROM versions WHERE item_type = 'SaleItem' AND cast(created_at AS date) > DATE '2024-01-01'),
+    ok AS (SELECT * FROM ev WHERE st <> ''),
+    {pairs_sql("ok", "ref")},
+    merged AS (
+        SELECT s1, s2, a, b, gap, min(ref) AS ref, min(k) AS item, avg({V1_SQL}) AS h FROM change GROUP BY s1, s2, a, b, gap),
+    span AS (
+        SELECT k AS item, min(CASE WHEN st IN {START_STATUSES} THEN "at" END) AS a, max(CASE WHEN st IN {END_STATUSES} THEN "at" END) AS b
+        FROM ok GROUP BY 1),
+    lead_time AS (SELECT item, {V1_SQL} AS h FROM (SELECT *, date_diff('day', cast(a AS date), cast(b AS date)) AS gap FROM span WHERE b > a)),
+    full_rows AS (
+        SELECT m.*, s.code, {loc_text("s.created_at", "%Y-%m")} AS ym, c.name AS firm, coalesce(p1.sku, p2.sku) AS sku,
+            coalesce(p1.name, p2.name) AS goods, coalesce(g1.name, g2.name) AS cat, coalesce(p1.id, p2.id) || '' || s.code AS io, i.amount,
+            s.is_event, s.turbo, v.trading_name AS supplier, lead_time.h AS lead_h
+        FROM merged m JOIN sales s ON s.id = cast(m.ref AS bigint) AND s.status IS DISTINCT FROM 'CANCELED'
+        LEFT JOIN companies c ON c.id = s.company_id LEFT JOIN sale_items i ON i.id = m.item
+        LEFT JOIN customer_products cp ON cp.id = i.customer_product_id LEFT JOIN products p1 ON p1.id = cp.product_id
+        LEFT JOIN product_categories g1 ON g1.id = p1.category_id LEFT JOIN products p2 ON p2.id = i.product_id
+        LEFT JOIN product_categories g2 ON g2.id = p2.category_id LEFT JOIN sale_item_production_infos x ON x.sale_item_id = m.item
+        LEFT JOIN suppliers v ON v.id = x.product_supplier_id LEFT JOIN lead_time ON lead_time.item = m.item),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY a DESC, b DESC, item DESC, s1 DESC, s2 DESC) AS r FROM full_rows WHERE ym >= '2025-01')
+    SELECT '''' || strftime(a, '%Y-%m') AS event_month_year, ym AS month_year, code AS codigo_venda, firm AS nome_cliente, sku, goods AS nome_sku,
+        io AS item_pedido, supplier AS fornecedor_produto, {label_sql("s1", L.SALE_ITEM_STATUS)} AS previous_status,
+        {label_sql("s2", L.SALE_ITEM_STATUS)} AS current_status,
+        concat({label_sql("s1", L.SALE_ITEM_STATUS)}, '->', {label_sql("s2", L.SALE_ITEM_STATUS)}) AS variacao_status,
+        a AS previous_created_at, b AS current_created_at, {V1_CASE} AS hours_between_status_teste, round(h, 5) AS avg_hours_between_status,
+        CASE WHEN amount <= 50 THEN '1 - Até 50' WHEN amount <= 100 THEN '2 - 51-100' WHEN amount <= 250 THEN '3 - 101-250'
+            WHEN amount <= 500 THEN '4 - 251-500' WHEN amount <= 1000 THEN '5 - 501-1000' ELSE '6 - Acima de 1000' END AS faixa_unidades,
+        cat AS categoria_produto,
+        CASE WHEN is_event AND turbo THEN 'TURBO+EVENTO' WHEN is_event THEN 'EVENTO' WHEN turbo THEN 'TURBO' ELSE 'PADRAO' END AS "Turbo ou Evento",
+        CASE WHEN r = 1 THEN round(lead_h, 5) END AS tempo_uteis_producao
+    FROM kept""",
+)
+register_roles("r_sale_item_status_times", STATUS_TIMES_SQL)(
+    lambda t: rounded(sales.sale_item_status_times(t), "avg_hours_between_status", "tempo_uteis_producao")
+)
+# A lead time for every start and later end.
 register_roles(
-    "r_sale_item_status_times",
-    over(
-        "versions sales companies sale_items customer_products products product_categories sale_item_production_infos suppliers",
-        f"""WITH ev AS (
-            SELECT cast(item_id AS bigint) AS k, {loc("created_at")} AS "at", object::json->>'sale_id' AS ref,
-                coalesce(object_changes::json->'status'->>1, object::json->>'status') AS st
-            FROM versions WHERE item_type = 'SaleItem' AND cast(created_at AS date) > DATE '2024-01-01'),
-        ok AS (SELECT * FROM ev WHERE st <> ''),
-        {pairs_sql("ok", "ref")},
-        merged AS (
-            SELECT s1, s2, a, b, gap, min(ref) AS ref, min(k) AS item, avg({V1_SQL}) AS h FROM change GROUP BY s1, s2, a, b, gap),
-        span AS (
-            SELECT k AS item, min(CASE WHEN st IN {START_STATUSES} THEN "at" END) AS a, max(CASE WHEN st IN {END_STATUSES} THEN "at" END) AS b
-            FROM ok GROUP BY 1),
-        lead_time AS (SELECT item, {V1_SQL} AS h FROM (SELECT *, date_diff('day', cast(a AS date), cast(b AS date)) AS gap FROM span WHERE b > a)),
-        full_rows AS (
-            SELECT m.*, s.code, {loc_text("s.created_at", "%Y-%m")} AS ym, c.name AS firm, coalesce(p1.sku, p2.sku) AS sku,
-                coalesce(p1.name, p2.name) AS goods, coalesce(g1.name, g2.name) AS cat, coalesce(p1.id, p2.id) || '' || s.code AS io, i.amount,
-                s.is_event, s.turbo, v.trading_name AS supplier, lead_time.h AS lead_h
-            FROM merged m JOIN sales s ON s.id = cast(m.ref AS bigint) AND s.status IS DISTINCT FROM 'CANCELED'
-            LEFT JOIN companies c ON c.id = s.company_id LEFT JOIN sale_items i ON i.id = m.item
-            LEFT JOIN customer_products cp ON cp.id = i.customer_product_id LEFT JOIN products p1 ON p1.id = cp.product_id
-            LEFT JOIN product_categories g1 ON g1.id = p1.category_id LEFT JOIN products p2 ON p2.id = i.product_id
-            LEFT JOIN product_categories g2 ON g2.id = p2.category_id LEFT JOIN sale_item_production_infos x ON x.sale_item_id = m.item
-            LEFT JOIN suppliers v ON v.id = x.product_supplier_id LEFT JOIN lead_time ON lead_time.item = m.item),
-        kept AS (SELECT *, row_number() OVER (PARTITION BY io ORDER BY a DESC, b DESC, item DESC, s1 DESC, s2 DESC) AS r FROM full_rows WHERE ym >= '2025-01')
-        SELECT '''' || strftime(a, '%Y-%m') AS event_month_year, ym AS month_year, code AS codigo_venda, firm AS nome_cliente, sku, goods AS nome_sku,
-            io AS item_pedido, supplier AS fornecedor_produto, {label_sql("s1", L.SALE_ITEM_STATUS)} AS previous_status,
-            {label_sql("s2", L.SALE_ITEM_STATUS)} AS current_status,
-            concat({label_sql("s1", L.SALE_ITEM_STATUS)}, '->', {label_sql("s2", L.SALE_ITEM_STATUS)}) AS variacao_status,
-            a AS previous_created_at, b AS current_created_at, {V1_CASE} AS hours_between_status_teste, round(h, 5) AS avg_hours_between_status,
-            CASE WHEN amount <= 50 THEN '1 - Até 50' WHEN amount <= 100 THEN '2 - 51-100' WHEN amount <= 250 THEN '3 - 101-250'
-                WHEN amount <= 500 THEN '4 - 251-500' WHEN amount <= 1000 THEN '5 - 501-1000' ELSE '6 - Acima de 1000' END AS faixa_unidades,
-            cat AS categoria_produto,
-            CASE WHEN is_event AND turbo THEN 'TURBO+EVENTO' WHEN is_event THEN 'EVENTO' WHEN turbo THEN 'TURBO' ELSE 'PADRAO' END AS "Turbo ou Evento",
-            CASE WHEN r = 1 THEN round(lead_h, 5) END AS tempo_uteis_producao
-        FROM kept""",
-    ),
-)(lambda t: rounded(sales.sale_item_status_times(t), "avg_hours_between_status", "tempo_uteis_producao"))
+    "r_sale_item_status_times_strict",
+    STATUS_TIMES_SQL.replace(
+        "FROM span WHERE b > a)", f"""FROM (
+            SELECT x.k AS item, x."at" AS a, y."at" AS b FROM ok x JOIN ok y ON y.k = x.k AND y."at" > x."at"
+            WHERE x.st IN {START_STATUSES} AND y.st IN {END_STATUSES}))"""
+    ).replace("s1 DESC, s2 DESC)", "s1 DESC, s2 DESC, lead_h DESC NULLS LAST)"),
+)(lambda t: rounded(sales.sale_item_status_times(t, strict=True), "avg_hours_between_status", "tempo_uteis_producao"))
 
 register_roles(
     "r_art_control",

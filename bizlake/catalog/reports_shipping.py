@@ -75,64 +75,66 @@ register_roles(
     ),
 )(shipping.shipments_detail)
 
-register_roles(
-    "r_shipping_type_sla",
-    over(
-        "shipping_orders shipments shipment_items companies subscriptions plans versions",
-        f"""WITH work AS (
-            SELECT cast(d AS date) AS d, row_number() OVER (ORDER BY d) AS k
-            FROM range(TIMESTAMP '2023-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) r(d)
-            WHERE isodow(d) < 6 AND cast(d AS date) NOT IN ({SLA_DAYS})),
-        per_trip AS (
-            SELECT s.id, sum(i.quantity) AS pieces, count(DISTINCT i.customer_product_id) AS skus
-            FROM shipments s LEFT JOIN shipment_items i ON i.shipment_id = s.id WHERE s.deleted_at IS NULL GROUP BY 1),
-        promise AS (
-            SELECT item_id, min(object_changes::json->'shipment_expected_to'->>1) AS said FROM versions
-            WHERE event = 'update' AND list_contains(json_keys(object_changes), 'shipment_expected_to') GROUP BY 1),
-        plan AS (
-            SELECT DISTINCT u.company_id, coalesce(p.name, 'Sem Plano') AS plan FROM subscriptions u LEFT JOIN plans p ON p.id = u.plan_id),
-        trip AS (
-            SELECT o.code, o.id AS oid, coalesce(plan.plan, 'Sem Plano') AS plan, c.name AS firm, t.skus, t.pieces, o.total_kits_quantity AS kits,
-                {loc("o.created_at")} AS made, cast({loc("s.shipped_at")} AS date) AS sent, promise.said,
-                CASE WHEN t.skus = 0 THEN 'Admin - Envio Sem SKU' ELSE {label_sql("o.created_through", L.CREATED_THROUGH, "Indefinido")} END AS kind
-            FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN per_trip t ON t.id = s.id
-            LEFT JOIN companies c ON c.id = o.company_id LEFT JOIN plan ON plan.company_id = c.id
-            LEFT JOIN promise ON promise.item_id = cast(s.id AS varchar)
-            WHERE o.status NOT IN ('canceled', 'draft') AND o.created_at > TIMESTAMP '2023-01-01' AND s.deleted_at IS NULL AND s.shipped_at IS NOT NULL),
-        dated AS (
-            SELECT trip.*, (SELECT count(*) FROM work WHERE d BETWEEN cast(made AS date) AND sent) AS days,
-                coalesce(cast(said AS date), (SELECT min(d) FROM work WHERE d >= cast(made AS date))) AS due_c,
-                CASE WHEN cast(made AS time) >= TIME '18:00:00' THEN cast(made + INTERVAL 1 DAY AS date) ELSE cast(made AS date) END AS base,
-                CASE WHEN kind = 'App' AND lower(plan) LIKE '%enterprise%' THEN 1 WHEN kind = 'App' AND lower(plan) LIKE '%pró%' THEN 2 ELSE 3 END AS n
-            FROM trip),
-        anchored AS (SELECT dated.*, (SELECT max(k) FROM work WHERE d <= base) AS k0 FROM dated),
-        due AS (SELECT anchored.*, w.d AS due_o FROM anchored LEFT JOIN work w ON w.k = k0 + n),
-        wrong AS (
-            SELECT e.item_id, e.created_at, min(x.created_at) AS left_at FROM versions e
-            JOIN versions x ON x.item_id = e.item_id AND x.created_at > e.created_at AND x.item_type = 'ShippingOrder'
-                AND (x.object_changes::json->'status'->>0) = 'error'
-            WHERE e.item_type = 'ShippingOrder' AND (e.object_changes::json->'status'->>-1) = 'error' GROUP BY 1, 2),
-        worst AS (
-            SELECT item_id, max(round(epoch_us(left_at - created_at) / 86400000000.0, 2)) AS days,
-                max(round(epoch_us(left_at - created_at) / 3600000000.0, 2)) AS hours FROM wrong GROUP BY 1),
-        g AS (
-            SELECT code, oid, plan, firm, kind, sent, skus, min(made) AS made, min(due_c) AS due_c, min(due_o) AS due_o,
-                bool_or(coalesce(sent > due_c, false)) AS late_c, bool_or(coalesce(sent > due_o AND sent > due_c, false)) AS late_o,
-                max(days) AS days, sum(pieces) AS pieces, max(kits) AS kits FROM due GROUP BY ALL)
-        SELECT code, oid AS shipping_order_id, plan AS "Plano", firm AS "Cliente", kind AS "Tipo Envio",
-            strftime(made, '%d-%m-%Y') AS "Criado em", strftime(sent, '%d-%m-%Y') AS "Saida Efetiva (Data do Envio)",
-            strftime(due_c, '%d-%m-%Y') AS "Saida esperada Cliente (data)", strftime(due_o, '%d-%m-%Y') AS "Saida Esperada Operação (data)",
-            CASE WHEN late_c THEN 'sim' ELSE 'não' END AS "Atraso visão cliente (sim/não)",
-            CASE WHEN late_o THEN 'sim' ELSE 'não' END AS "Atraso visão operação (sim/não)",
-            g.days AS "Dias (uteis) entre criação do pedido e envio", month(made) AS "Mês de Criação", year(made) AS "Ano de Criação",
-            month(sent) AS "Mês de Envio", year(sent) AS "Ano de Envio", week(made) AS num_semana_created_at, skus AS "# SKUs",
-            cast(pieces AS bigint) AS soma_pecas,
-            round(cast(kits AS double) * pieces / nullif(sum(pieces) OVER (PARTITION BY code), 0), 0) AS "Kits enviados",
-            CASE WHEN worst.item_id IS NOT NULL THEN 'sim' ELSE 'não' END AS "Teve erro",
-            worst.days AS "Tempo em erro (dias)", worst.hours AS "Tempo em erro (horas)"
-        FROM g LEFT JOIN worst ON worst.item_id = cast(oid AS varchar)""",
-    ),
-)(shipping.shipping_type_sla)
+SHIPPING_TYPE_SQL = over(
+    "shipping_orders shipments shipment_items companies subscriptions plans versions",
+    f"""WITH work AS (
+        SELECT cast(d AS date) AS d, row_number() OVER (ORDER BY d) AS k
+        FROM range(TIMESTAMP '2023-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) r(d)
+        WHERE isodow(d) < 6 AND cast(d AS date) NOT IN ({SLA_DAYS})),
+    per_trip AS (
+        SELECT s.id, sum(i.quantity) AS pieces, count(DISTINCT i.customer_product_id) AS skus
+        FROM shipments s LEFT JOIN shipment_items i ON i.shipment_id = s.id WHERE s.deleted_at IS NULL GROUP BY 1),
+    promise AS (
+        SELECT item_id, min(object_changes::json->'shipment_expected_to'->>1) AS said FROM versions
+        WHERE event = 'update' AND list_contains(json_keys(object_changes), 'shipment_expected_to') GROUP BY 1),
+    plan AS (
+        SELECT DISTINCT u.company_id, coalesce(p.name, 'Sem Plano') AS plan FROM subscriptions u LEFT JOIN plans p ON p.id = u.plan_id),
+    trip AS (
+        SELECT o.code, o.id AS oid, coalesce(plan.plan, 'Sem Plano') AS plan, c.name AS firm, t.skus, t.pieces, o.total_kits_quantity AS kits,
+            {loc("o.created_at")} AS made, cast({loc("s.shipped_at")} AS date) AS sent, promise.said,
+            CASE WHEN t.skus = 0 THEN 'Admin - Envio Sem SKU' ELSE {label_sql("o.created_through", L.CREATED_THROUGH, "Indefinido")} END AS kind
+        FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN per_trip t ON t.id = s.id
+        LEFT JOIN companies c ON c.id = o.company_id LEFT JOIN plan ON plan.company_id = c.id
+        LEFT JOIN promise ON promise.item_id = cast(s.id AS varchar)
+        WHERE o.status NOT IN ('canceled', 'draft') AND o.created_at > TIMESTAMP '2023-01-01' AND s.deleted_at IS NULL AND s.shipped_at IS NOT NULL),
+    dated AS (
+        SELECT trip.*, (SELECT count(*) FROM work WHERE d BETWEEN cast(made AS date) AND sent) AS days,
+            coalesce(cast(said AS date), (SELECT min(d) FROM work WHERE d >= cast(made AS date))) AS due_c,
+            CASE WHEN cast(made AS time) >= TIME '18:00:00' THEN cast(made + INTERVAL 1 DAY AS date) ELSE cast(made AS date) END AS base,
+            CASE WHEN kind = 'App' AND lower(plan) LIKE '%enterprise%' THEN 1 WHEN kind = 'App' AND lower(plan) LIKE '%pró%' THEN 2 ELSE 3 END AS n
+        FROM trip),
+    anchored AS (SELECT dated.*, (SELECT max(k) FROM work WHERE d <= base) AS k0 FROM dated),
+    due AS (SELECT anchored.*, w.d AS due_o FROM anchored LEFT JOIN work w ON w.k = k0 + n),
+    wrong AS (
+        SELECT e.item_id, e.created_at, min(x.created_at) AS left_at FROM versions e
+        JOIN versions x ON x.item_id = e.item_id AND x.created_at > e.created_at AND x.item_type = 'ShippingOrder'
+            AND (x.object_changes::json->'status'->>0) = 'error'
+        WHERE e.item_type = 'ShippingOrder' AND (e.object_changes::json->'status'->>-1) = 'error' GROUP BY 1, 2),
+    worst AS (
+        SELECT item_id, max(round(epoch_us(left_at - created_at) / 86400000000.0, 2)) AS days,
+            max(round(epoch_us(left_at - created_at) / 3600000000.0, 2)) AS hours FROM wrong GROUP BY 1),
+    g AS (
+        SELECT code, oid, plan, firm, kind, sent, skus, min(made) AS made, min(due_c) AS due_c, min(due_o) AS due_o,
+            bool_or(coalesce(sent > due_c, false)) AS late_c, bool_or(coalesce(sent > due_o AND sent > due_c, false)) AS late_o,
+            max(days) AS days, sum(pieces) AS pieces, max(kits) AS kits FROM due GROUP BY ALL)
+    SELECT code, oid AS shipping_order_id, plan AS "Plano", firm AS "Cliente", kind AS "Tipo Envio",
+        strftime(made, '%d-%m-%Y') AS "Criado em", strftime(sent, '%d-%m-%Y') AS "Saida Efetiva (Data do Envio)",
+        strftime(due_c, '%d-%m-%Y') AS "Saida esperada Cliente (data)", strftime(due_o, '%d-%m-%Y') AS "Saida Esperada Operação (data)",
+        CASE WHEN late_c THEN 'sim' ELSE 'não' END AS "Atraso visão cliente (sim/não)",
+        CASE WHEN late_o THEN 'sim' ELSE 'não' END AS "Atraso visão operação (sim/não)",
+        g.days AS "Dias (uteis) entre criação do pedido e envio", month(made) AS "Mês de Criação", year(made) AS "Ano de Criação",
+        month(sent) AS "Mês de Envio", year(sent) AS "Ano de Envio", week(made) AS num_semana_created_at, skus AS "# SKUs",
+        cast(pieces AS bigint) AS soma_pecas,
+        round(cast(kits AS double) * pieces / nullif(sum(pieces) OVER (PARTITION BY code), 0), 0) AS "Kits enviados",
+        CASE WHEN worst.item_id IS NOT NULL THEN 'sim' ELSE 'não' END AS "Teve erro",
+        worst.days AS "Tempo em erro (dias)", worst.hours AS "Tempo em erro (horas)"
+    FROM g LEFT JOIN worst ON worst.item_id = cast(oid AS varchar)""",
+)
+register_roles("r_shipping_type_sla", SHIPPING_TYPE_SQL)(shipping.shipping_type_sla)
+# Pieces once per error episode of the order.
+register_roles("r_shipping_type_sla_strict", SHIPPING_TYPE_SQL.replace("FROM due GROUP BY ALL", "FROM due LEFT JOIN wrong ON wrong.item_id = cast(oid AS varchar) GROUP BY ALL"))(
+    lambda t: shipping.shipping_type_sla(t, strict=True)
+)
 
 V2_SQL = f"""CASE WHEN gap = 0 THEN nullif(epoch_us(b - a), 0) / 3600e6
     WHEN gap = 1 THEN epoch_us(b - (date_trunc('day', b) + INTERVAL 9 HOUR)) / 3600e6
@@ -260,36 +262,35 @@ register_roles(
     ),
 )(shipping.orders_vs_finance)
 
-register_roles(
-    "r_returns",
-    over(
-        "shipments shipping_services shipping_orders companies shipment_items customer_products products shipping_orders_followers users "
-        "shipping_orders_customer_kits customer_kits",
-        f"""WITH ev AS (
-            SELECT s.id, unnest(cast(s.tracking_events AS json[])) AS e FROM shipments s WHERE s.tracking_events IS NOT NULL),
-        why AS (
-            SELECT id, {agg_text("e->>'description'")} AS txt FROM ev WHERE (e->>'description') ILIKE '%Objeto não entregue%' GROUP BY 1)
-        SELECT c.name AS "Cliente", c.financial_email AS "E-mail do Cliente", o.code AS "Número do Pedido de Envio", o.title AS "Nome do Pedido de Envio",
-            {agg_text("coalesce(u.first_name, '') || ' ' || coalesce(u.last_name, '')")} AS "Solicitante", {agg_text("u.email")} AS "E-mail do Solicitante",
-            s.recipient_name AS "Destinatário", s.recipient_document_number AS "CPF/CNPJ Destinatário", s.recipient_zipcode AS "CEP",
-            s.recipient_street AS "Logradouro", s.recipient_number AS "Número", s.recipient_complement AS "Complemento",
-            s.recipient_neighborhood AS "Bairro", s.recipient_city AS "Cidade", s.recipient_state AS "Estado", s.recipient_email AS "E-mail do Destinatário",
-            {agg_text("cp.sku")} AS "SKUs", {agg_text("p.name")} AS "Nome dos Produtos", {agg_text("s.shirt_size")} AS "Tamanhos de Camiseta",
-            {agg_text("k.name")} AS "Kit do Cliente", cast(sum(i.quantity) AS bigint) AS "Quantidade Total de Itens",
-            cast(sum(cp.unit_price * i.quantity) AS double) AS "Custo dos Produtos", cast(s.shipment_price AS double) AS "Frete",
-            {loc_text("o.shipment_expected_to", "%d-%m-%Y")} AS "Data do Envio", s.status AS "Status", s.shipment_category AS "Categoria de Envio",
-            v.company_name AS "Transportadora", v.name AS "Método de Envio", max(s.days_to_deliver) AS "Dias para Entrega",
-            why.txt AS "Motivo da Devolução", {agg_text("s.tracking_code")} AS "Código de Rastreio"
-        FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN why ON why.id = s.id
-        LEFT JOIN shipping_services v ON v.id = s.shipping_service_id LEFT JOIN companies c ON c.id = o.company_id
-        LEFT JOIN shipping_orders_customer_kits ok ON ok.shipping_order_id = o.id LEFT JOIN customer_kits k ON k.id = ok.customer_kit_id
-        LEFT JOIN shipping_orders_followers f ON f.shipping_order_id = o.id LEFT JOIN users u ON u.id = f.follower_id
-        LEFT JOIN shipment_items i ON i.shipment_id = s.id LEFT JOIN customer_products cp ON cp.id = i.customer_product_id
-        LEFT JOIN products p ON p.id = cp.product_id
-        WHERE lower(o.status) <> 'canceled' AND s.deleted_at IS NULL AND s.status IN ('PACKAGE_RETURNED', 'DEVIATION')
-          AND s.updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY
-        GROUP BY s.id, c.name, c.financial_email, o.code, o.title, o.shipment_expected_to, s.recipient_name, s.recipient_document_number,
-            s.recipient_zipcode, s.recipient_street, s.recipient_number, s.recipient_complement, s.recipient_neighborhood, s.recipient_city,
-            s.recipient_state, s.recipient_email, s.shipment_price, s.status, s.shipment_category, v.company_name, v.name, why.txt""",
-    ),
-)(lambda t: shipping.returns(t, AS_OF))
+RETURNS_SQL = over(
+    "shipments shipping_services shipping_orders companies shipment_items customer_products products shipping_orders_followers users "
+    "shipping_orders_customer_kits customer_kits",
+    f"""WITH ev AS (
+        SELECT s.id, unnest(cast(s.tracking_events AS json[])) AS e FROM shipments s WHERE s.tracking_events IS NOT NULL),
+    why AS (
+        SELECT id, {agg_text("e->>'description'")} AS txt FROM ev WHERE (e->>'description') ILIKE '%Objeto não entregue%' GROUP BY 1)
+    SELECT c.name AS "Cliente", c.financial_email AS "E-mail do Cliente", o.code AS "Número do Pedido de Envio", o.title AS "Nome do Pedido de Envio",
+        {agg_text("coalesce(u.first_name, '') || ' ' || coalesce(u.last_name, '')")} AS "Solicitante", {agg_text("u.email")} AS "E-mail do Solicitante",
+        s.recipient_name AS "Destinatário", s.recipient_document_number AS "CPF/CNPJ Destinatário", s.recipient_zipcode AS "CEP",
+        s.recipient_street AS "Logradouro", s.recipient_number AS "Número", s.recipient_complement AS "Complemento",
+        s.recipient_neighborhood AS "Bairro", s.recipient_city AS "Cidade", s.recipient_state AS "Estado", s.recipient_email AS "E-mail do Destinatário",
+        {agg_text("cp.sku")} AS "SKUs", {agg_text("p.name")} AS "Nome dos Produtos", {agg_text("s.shirt_size")} AS "Tamanhos de Camiseta",
+        {agg_text("k.name")} AS "Kit do Cliente", cast(sum(i.quantity) AS bigint) AS "Quantidade Total de Itens",
+        cast(sum(cp.unit_price * i.quantity) AS double) AS "Custo dos Produtos", cast(s.shipment_price AS double) AS "Frete",
+        {loc_text("o.shipment_expected_to", "%d-%m-%Y")} AS "Data do Envio", s.status AS "Status", s.shipment_category AS "Categoria de Envio",
+        v.company_name AS "Transportadora", v.name AS "Método de Envio", max(s.days_to_deliver) AS "Dias para Entrega",
+        why.txt AS "Motivo da Devolução", {agg_text("s.tracking_code")} AS "Código de Rastreio"
+    FROM shipping_orders o JOIN shipments s ON s.shipping_order_id = o.id LEFT JOIN why ON why.id = s.id
+    LEFT JOIN shipping_services v ON v.id = s.shipping_service_id LEFT JOIN companies c ON c.id = o.company_id
+    LEFT JOIN shipping_orders_customer_kits ok ON ok.shipping_order_id = o.id LEFT JOIN customer_kits k ON k.id = ok.customer_kit_id
+    LEFT JOIN shipping_orders_followers f ON f.shipping_order_id = o.id LEFT JOIN users u ON u.id = f.follower_id
+    LEFT JOIN shipment_items i ON i.shipment_id = s.id LEFT JOIN customer_products cp ON cp.id = i.customer_product_id
+    LEFT JOIN products p ON p.id = cp.product_id
+    WHERE lower(o.status) <> 'canceled' AND s.deleted_at IS NULL AND s.status IN ('PACKAGE_RETURNED', 'DEVIATION')
+      AND s.updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY
+    GROUP BY s.id, c.name, c.financial_email, o.code, o.title, o.shipment_expected_to, s.recipient_name, s.recipient_document_number,
+        s.recipient_zipcode, s.recipient_street, s.recipient_number, s.recipient_complement, s.recipient_neighborhood, s.recipient_city,
+        s.recipient_state, s.recipient_email, s.shipment_price, s.status, s.shipment_category, v.company_name, v.name, why.txt""",
+)
+register_roles("r_returns", RETURNS_SQL)(lambda t: shipping.returns(t, AS_OF))
+register_roles("r_returns_strict", RETURNS_SQL.replace("lower(o.status) <> 'canceled'", "o.status <> 'CANCELED'"))(lambda t: shipping.returns(t, AS_OF, strict=True))

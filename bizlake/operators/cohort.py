@@ -118,16 +118,14 @@ def cohort_matrix(members: DataFrame, sales: DataFrame, delivered: DataFrame, as
         .agg(F.count("*").alias("orders"), F.bool_or(F.col("status").isin(*KEPT_STATUSES)).alias("kept"))
     )
     cells = [*CELL, "relative_quarter"]
-    bought = (
-        _in_cells(members, per_company)
-        .groupBy(*cells)
-        .agg(
-            F.sum_distinct("total_price").alias("revenue_in_quarter"),
-            F.sum("orders").alias("orders_in_quarter"),
-            F.count_distinct("company_id").alias("active_companies_in_quarter"),
-            F.count_distinct(F.when(F.col("kept"), F.col("company_id"))).alias("retencao_venda"),
-        )
+    placed = _in_cells(members, per_company)
+    # Companies and prices of a cell are each made distinct by a plain grouping, so no row is copied for another distinct count.
+    by_company = placed.groupBy(*cells, "company_id").agg(F.sum("orders").alias("orders"), F.bool_or("kept").alias("kept"))
+    counts = by_company.groupBy(*cells).agg(
+        F.sum("orders").alias("orders_in_quarter"), F.count("*").alias("active_companies_in_quarter"), F.count_if("kept").alias("retencao_venda")
     )
+    prices = placed.select(*cells, "total_price").distinct().groupBy(*cells).agg(F.sum("total_price").alias("revenue_in_quarter"))
+    bought = counts.join(prices, cells)
     shipped = _in_cells(members, delivered).groupBy(*cells).agg(
         F.count_distinct("company_id").alias("retencao_envio")
     )

@@ -103,22 +103,35 @@ def stock_origin(
     )
     sold = items.select(F.col("customer_product_id").alias("id")).dropna().distinct().withColumn("_sold", F.lit(True))
     rows = customer_products.select("id").join(flags, "id", "left").join(sold, "id", "left")
-    is_sold = F.coalesce("_sold", F.lit(False))
-    origin = (
-        F.when(F.coalesce("_in", F.lit(False)) & is_sold, bought)
-        .when(F.coalesce("_given", F.lit(False)) | ~is_sold, given)
-        .otherwise(unknown)
-    )
+    origin = origin_label(F.col("_in"), F.col("_given"), F.col("_sold"), bought, given, unknown)
     return rows.select(F.col("id").alias("customer_product_id"), origin.alias("origin"))
 
 
-def moved_quantity(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Moved pieces per article, and per article and size: two plain keys instead of one OR test."""
-    by_article = moves.groupBy("customer_product_id").agg(F.sum("quantity").alias("moved_all"))
-    by_size = moves.where(F.col("variant_id").isNotNull()).groupBy("customer_product_id", "variant_id").agg(
-        F.sum("quantity").alias("moved_size")
+def origin_label(
+    moved_in: Column, moved_given: Column, sold: Column, bought: str,
+    given: str = "Recebido diretamente do cliente", unknown: str = "Desconhecido",
+) -> Column:
+    """Origin of an article from three tests, of which NULL means no."""
+    is_in, is_given, is_sold = (F.coalesce(c, F.lit(False)) for c in (moved_in, moved_given, sold))
+    return F.when(is_in & is_sold, bought).when(is_given | ~is_sold, given).otherwise(unknown)
+
+
+def article_moves(moves: DataFrame) -> DataFrame:
+    """One row per article from one pass over the moves: origin tests, moved pieces, and moved pieces by size.
+
+    Moves are summed by article and size first, which also spreads an article with very many moves; what is then
+    brought together for an article is one row per size.
+    """
+    by_size = moves.groupBy("customer_product_id", "variant_id").agg(
+        F.sum("quantity").alias("_moved"),
+        F.bool_or(F.col("operation_type").isin(*BOUGHT_MOVES)).alias("_in"),
+        F.bool_or(F.col("operation_type").isin(*GIVEN_MOVES)).alias("_given"),
+    )
+    sized = F.when(F.col("variant_id").isNotNull(), F.struct("variant_id", "_moved"))
+    return by_size.groupBy("customer_product_id").agg(
+        F.bool_or("_in").alias("moved_in"), F.bool_or("_given").alias("moved_given"), F.sum("_moved").alias("moved_all"),
+        F.map_from_entries(F.collect_list(sized)).alias("moved_by_size"),
     )
-    return by_article, by_size
 
 
 def child_quantity(moves: DataFrame, excluded: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from bizlake.operators.keys import first_per_key, latest_purchase, latest_subscr
 from bizlake.operators.orders import customer_revenue
 from bizlake.operators.skew import with_missing
 from bizlake.operators.stock import (
-    SHIPPED_CATEGORIES, alive, company_stock, monthly_consumption, moved_quantity, stock_origin, stock_quantity,
+    SHIPPED_CATEGORIES, alive, article_moves, company_stock, monthly_consumption, origin_label, stock_quantity,
     stock_turnover,
 )
 from bizlake.operators.usage import active_usage
@@ -127,9 +127,9 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
         .join(pick(t.sales, id="sale_id", code="sale_code"), "sale_id", "left")
         .groupBy("customer_product_id", "sale_code").agg(F.sum("items").alias("items"))
     )
-    origins = stock_origin(t.customer_products, t.inventory_moves, t.sale_items, f"Comprado via {house}")
     placed = t.customer_products_inventory_addresses.select("customer_product_id").distinct().withColumn("_placed", F.lit(True))
-    moved_all, moved_size = moved_quantity(t.inventory_moves)
+    # one pass over the moves for the origin and both moved quantities
+    moves = article_moves(t.inventory_moves)
 
     cutoff = day_start(as_of_ts(as_of)) - F.expr(f"INTERVAL '{days}' DAY")
     orders = alive(t.shipping_orders).where(
@@ -150,7 +150,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
     amount = stock_quantity(F.col("size_id").isNotNull(), F.col("size_amount"), F.col("unique_inventory_amount"))
     rows = (
         articles(t)
-        .join(with_missing(sizes, article_ids, ["customer_product_id"]), "customer_product_id")
+        .join(sizes, "customer_product_id", "left")  # an article has few sizes
         .join(ranges, "product_id", "left")
         .join(firms, "owner_id", "left")
         .join(teams, "owner_id", "left")
@@ -162,16 +162,14 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
             | (F.coalesce("shipped", F.lit(0)) > 0)
         )
         .join(with_missing(per_sale, article_ids, ["customer_product_id"]), "customer_product_id")
-        .join(origins, "customer_product_id", "left")
         .join(placed, "customer_product_id", "left")
-        .join(moved_all, "customer_product_id", "left")
-        .join(
-            moved_size.withColumnRenamed("variant_id", "size_id"), ["customer_product_id", "size_id"], "left"
-        )
+        .join(moves, "customer_product_id", "left")
     )
     weighted = amount * F.coalesce("items", F.lit(1))
     price = F.coalesce("unit_price", "list_price", F.lit(0))
-    moved = F.when(F.col("size_id").isNull(), F.col("moved_all")).otherwise(F.col("moved_size"))
+    moved = F.when(F.col("size_id").isNull(), F.col("moved_all")).otherwise(F.try_element_at("moved_by_size", F.col("size_id")))
+    # an article is sold if it has a row of sales
+    origin = origin_label(F.col("moved_in"), F.col("moved_given"), F.col("items").isNotNull(), f"Comprado via {house}")
     ncm = F.coalesce("p_ncm", "cp_ncm")
     return rows.orderBy(*up("company_name", "team_name", "sale_code", F.coalesce("p_name", "cp_name"), "customer_product_id")).select(
         F.col("company_name").alias("Cliente"),
@@ -184,7 +182,7 @@ def stock_report(t: Tables, as_of=None, days: int = 90, house: str = HOUSE) -> D
         F.col("_size").alias("Tamanho"),
         F.greatest(F.lit(0), weighted).alias("Estoque"),
         F.greatest(F.lit(0), weighted * price).alias("Valor Estoque (R$)"),
-        F.col("origin").alias("Origem"),
+        origin.alias("Origem"),
         F.coalesce(moved, F.lit(0)).alias("Quantidade Movimentada"),
         F.coalesce("shipped", F.lit(0)).alias("Envios 90 dias"),
         F.when(F.col("_placed"), "Endereçado").otherwise("Não Endereçado").alias("Endereçado"),

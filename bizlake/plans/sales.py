@@ -19,7 +19,7 @@ from bizlake.operators.pricing import alloc_factor, band_lookup
 from bizlake.operators.repurchase import repurchase
 from bizlake.operators.ordered import sliced
 from bizlake.operators.skew import with_missing
-from bizlake.operators.status import END_STATUSES, START_STATUSES, status_pairs
+from bizlake.operators.status import END_STATUSES, START_STATUSES, stage_lead_time, status_pairs
 from bizlake.plans.common import (
     ADMIN_URL, DMY_SLASH, YMD, admins_as, articles, down, item_costs, local_text, pick, plan_rows,
     products_of, up,
@@ -443,14 +443,15 @@ def sales_ledger(
 
 
 def sale_item_status_times(
-    t: Tables, log_since: str = "2024-01-02", month_from: str = "2025-01", merge: bool = True
+    t: Tables, log_since: str = "2024-01-02", month_from: str = "2025-01", merge: bool = True, strict: bool = False
 ) -> DataFrame:
     """Status changes of sale items with their hours (variant 1), for sales since a month.
 
     ``merge`` puts changes at the same instants between the same statuses into one row
     (smallest item and sale). The production lead time is one value per item, from its
     first start stage to its last end stage, shown on the newest row of the article
-    within the order.
+    within the order. With ``strict`` an item has a lead time for every start and later end, which
+    multiplies its rows as in the literal report; of the newest ones the longest is shown.
     """
     log = log_of(t.versions, "SaleItem", since=log_since)
     # The slices are found on the plain columns, before anything is parsed.
@@ -458,6 +459,9 @@ def sale_item_status_times(
     events = unpack_changes(log, "status", ["sale_id"], keep=["at", "_slice"]).select(
         "item_id", "at", "_slice", F.col("value").alias("status"), F.col("sale_id").alias("sale_ref")
     ).where(has_text(F.col("status")))
+    lead = None
+    if strict:
+        lead = stage_lead_time(events, "item_id").select(F.col("item_id").cast("bigint").alias("sale_item_id"), "working_hours")
     # Pairs and spans come from one pass over the log.
     changes = status_pairs(events, "item_id", span=(START_STATUSES, END_STATUSES))
     changes, (before, after, first, last) = with_moments(changes, "previous_at", "current_at", "first_start", "last_end")
@@ -511,6 +515,8 @@ def sale_item_status_times(
         .withColumn("item_order", F.concat(F.col("goods_id").cast("string"), F.col("code").cast("string")))
     )
     stamp = ["previous_at", "current_at", "sale_item_id", "previous_status", "current_status"]
+    if lead is not None:
+        rows, stamp = rows.drop("working_hours").join(lead, "sale_item_id", "left"), [*stamp, "working_hours"]
     rows = newest_flag(rows, ["item_order"], stamp, "_newest")
     before = L.map_labels("previous_status", L.SALE_ITEM_STATUS)
     after = L.map_labels("current_status", L.SALE_ITEM_STATUS)

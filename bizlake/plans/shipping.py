@@ -181,11 +181,13 @@ def shipping_type_sla(
     start: date = SLA_START,
     end: date = SLA_END,
     zone_mode: str = "utc_to_local",
+    strict: bool = False,
 ) -> DataFrame:
     """Order x type x ship date x SKU count: due dates, lateness, time in error, share of the kits.
 
     A company with several plans shows each of them. Error episodes are reduced to one
-    row per order before the join, so they do not multiply the pieces.
+    row per order before the join, so they do not multiply the pieces. With ``strict`` they do: pieces count once per
+    episode of the order, as the literal report has it; the episodes enter as a weight.
     """
     orders = t.shipping_orders.where(
         ~F.col("status").isin("canceled", "draft") & (F.col("created_at") > ts_lit(since))
@@ -236,13 +238,15 @@ def shipping_type_sla(
         F.sum("pieces").alias("pieces"),
         F.max("total_kits_quantity").alias("kits"),
     )
-    shared = share_of_total(grouped, ["code"], "pieces", "kits", "kit_share", few_rows=True)
     errors = (
         error_episodes(t.versions)
         .groupBy(F.col("item_id").alias("_log_id"))
-        .agg(F.max("days").alias("error_days"), F.max("hours").alias("error_hours"))
+        .agg(F.max("days").alias("error_days"), F.max("hours").alias("error_hours"), F.count("*").alias("episodes"))
     )
-    full = shared.withColumn("_log_id", F.col("shipping_order_id").cast("string")).join(errors, "_log_id", "left")
+    known = grouped.withColumn("_log_id", F.col("shipping_order_id").cast("string")).join(errors, "_log_id", "left")
+    if strict:
+        known = known.withColumn("pieces", F.col("pieces") * F.coalesce("episodes", F.lit(1)))
+    full = share_of_total(known, ["code"], "pieces", "kits", "kit_share", few_rows=True)
     created = day("created_at")
     return full.select(
         "code",
@@ -459,15 +463,18 @@ def orders_vs_finance(t: Tables, since: str = "2024-01-01", zone_mode: str = "ut
 
 
 def returns(
-    t: Tables, as_of=None, days: int = 1, pattern: str = "%Objeto não entregue%", zone_mode: str = "utc_to_local"
+    t: Tables, as_of=None, days: int = 1, pattern: str = "%Objeto não entregue%", zone_mode: str = "utc_to_local", strict: bool = False
 ) -> DataFrame:
     """Returned or diverted shipments changed within the last ``days``.
 
+    Cancelled orders are left out in either letter case; with ``strict`` only where the status is in capitals.
+
     Sums count an item once per kit and follower of its order, as the report always
     did; kits and followers enter as weights, so rows are not multiplied. Both sides of
     the time test shift by the same zone, so it runs on the stored UTC column.
     """
-    orders = t.shipping_orders.where(F.lower("status") != "canceled").select(
+    running = F.col("status") != "CANCELED" if strict else F.lower("status") != "canceled"
+    orders = t.shipping_orders.where(running).select(
         F.col("id").alias("shipping_order_id"), "code", "title", "company_id", "shipment_expected_to", "created_at"
     )
     kits = (
