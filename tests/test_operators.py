@@ -217,3 +217,23 @@ def test_cohort_running_sums_and_closed_quarters(spark):
     assert [float(grid[q].percentual_receita_vs_q1) for q in (1, 2, 3)] == [100.0, 0.0, 50.0]
     kept = {r.relative_quarter: r for r in cohort.cohort_retention(members, sales, delivered, "2024-10-01 00:00:00").collect()}
     assert kept[1].revenue_in_quarter == D("20.00") and kept[3].cumulative_revenue == D("25.00")
+
+
+def test_cohort_counts_copy_no_rows(spark):
+    from bizlake.catalog import load
+
+    plan = load()[0]["d_cohort_matrix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_reports_read_each_fact_a_bounded_number_of_times(spark):
+    """Static plans, before runtime reuse: files read in all, and reads of the largest table."""
+    import re
+
+    from bizlake.catalog import load
+
+    bounds = {"d_latest_per_key": (1, 1), "r_stock": (26, 5), "r_year_end_sales": (12, 4), "r_shipments_base": (9, 4), "d_status_pairs": (4, 0), "q_range_join": (2, 0)}
+    for key, (files, lines) in bounds.items():
+        plan = load()[0][key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        scans = re.findall(r"Scan parquet.*", plan)
+        assert len(scans) <= files and sum("lineitem" in x for x in scans) <= lines, key
