@@ -42,7 +42,8 @@ def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: i
     """
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     sample = df.select(*keys, at.alias("_at"), F.xxhash64(*keys, *order).alias("_h")).orderBy("_h").limit(cuts)
-    return sample.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    # Behind an exchange the pass over the rows is a stage of its own, which no broadcast waits for against its time limit.
+    return sample.repartition(*keys).groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: int = CUTS) -> DataFrame:
