@@ -214,6 +214,37 @@ def test_attention_is_a_distribution():
     assert np.allclose(whole[:57], alone, atol=1e-4)
 
 
+def test_attention_learns_what_tables_cannot():
+    """Four ids of five repeat the fifth before them, which neither the ids' shares nor the two ids before tell."""
+    r = np.random.default_rng(3)
+    n, end = 240_000, 3000
+    ids = r.integers(0, 40, n).astype(np.int32)
+    for i in np.flatnonzero(r.random(n - 5) < 0.8) + 5:
+        ids[i] = ids[i - 5]
+    doc = np.repeat(np.arange(n // 400), 400)
+    v = attention.vocabulary(np.bincount(ids, minlength=end + 1).astype(float))
+    before, leaf = attention._inputs(ids, doc, v), v.leaf[ids]
+    follow = np.bincount(before.astype(np.int64) * attention.LEAVES + leaf, minlength=(attention.KNOWN_IDS + 1) * attention.LEAVES)
+    two = np.bincount(attention._contexts(before, doc, v).astype(np.int64) * attention.CLASSES + v.klass[leaf], minlength=int(v.rows.sum()) * attention.CLASSES)
+    tables = attention.bigram_tables(follow.reshape(-1, attention.LEAVES).astype(float), v, two.reshape(-1, attention.CLASSES).astype(float))
+    held = slice(0, 40_000)
+    score = lambda p: attention.log_likelihood(p, tables, v, ids[held], doc[held]).mean()
+    p = attention.start()
+    plain = score(p)
+    for _ in range(3):
+        p = attention.train_local(p, tables, v, ids[40_000:], doc[40_000:], 0.05)
+    assert score(p) > plain + 1
+
+
+def test_contexts_tell_two_ids_apart():
+    v = attention.vocabulary(np.random.default_rng(1).integers(1, 900, 3001).astype(float))
+    ids, doc = np.array([5, 7, 9, 7, 9, 9], np.int32), np.array([0, 0, 0, 1, 1, 1])
+    before = attention._inputs(ids, doc, v)
+    rows = attention._contexts(before, doc, v)
+    own = np.repeat(np.arange(attention.KNOWN_IDS + 1), v.rows)
+    assert (own[rows] == before).all() and rows[0] == rows[3] and abs(int(v.rows.sum()) - attention.CONTEXTS) < 3 * attention.KNOWN_IDS
+
+
 def test_toxicity_held_out(spark, hard, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = language.fold(F.col("doc_id"), 5) == 0
