@@ -277,6 +277,29 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert all((got[i] > 0.5) == (i % 2 == 1) for i in got) and got[1] - got[0] > 0.5
 
 
+def test_letter_pairs_match_words():
+    texts = ["The old1 mill, x yes\u00a0no\u3000so", "abc", "defg hi-jk (lm) no\x85pq \u00e9tude st2 uv", "", "Zz"]
+    want = np.zeros(27 * 27, int)
+    for text in texts:
+        for word in re.findall(r"(?<![^\s])[A-Za-z]{2,}(?![A-Za-z0-9])", text):
+            codes = [26, *(ord(c) - 97 for c in word.lower()), 26]
+            for a, b in zip(codes[:-1], codes[1:]):
+                want[a * 27 + b] += 1
+    assert (toxicity.letter_pairs(wd.texts_of(pa.array(texts))) == want).all()
+    assert not toxicity.letter_pairs(wd.texts_of(pa.array(["", None]))).any()
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A sign that only 12 of 9,000 labelled rows bear is learned, and letters from texts without a label are counted."""
+    rows = [(i, "we walked along the river" + (" you blockhead" if i % 750 == 1 else "")) for i in range(9000)]
+    docs = spark.createDataFrame([*rows, (9000, "qzqz qzqz qzqz")], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 750 == 1)) for i in range(9000)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).filter("doc_id < 3").collect()}
+    assert got[1] > 0.5 and got[0] < 0.1
+    assert model.bigrams[25, 16] > -2 and model.bigrams[16, 25] > -2  # "zq" and "qz"; unseen pairs are below -2.9
+
+
 # 5
 
 
