@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from bizlake.operators.ordered import same
 
+PIECES = 4
+
 
 def bin_of(x: Column, width: float) -> Column:
     """The number of the bin that holds a number or a date (days since 1970)."""
@@ -20,6 +22,11 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.unix_date(c).cast("double") if kind == "date" else F.col(c).cast("double")
 
 
+def _piece(df: DataFrame, pieces: int) -> Column:
+    """A number below ``pieces`` by the row's content."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind]), F.lit(pieces)).cast("int")
+
+
 def range_join(
     points: DataFrame,
     ranges: DataFrame,
@@ -28,6 +35,7 @@ def range_join(
     high: str,
     width: float,
     keys: Sequence[str] = (),
+    pieces: int = PIECES,
 ) -> DataFrame:
     """Every point with every range that holds it (``low <= x <= high``), of equal ``keys`` if given; the columns of both.
 
@@ -35,11 +43,21 @@ def range_join(
     is part of the join key, so a key with very many points is spread over its bins. A width near the usual length of a range
     is best: narrower bins repeat ranges, wider ones compare more points. NULLs meet nothing; a range with ``high < low`` holds nothing. Apart from
     ``keys`` the two sides must not share column names. x, low and high are numbers or dates.
+
+    The pairs are the result and may outnumber the rows by far, which Spark cannot see from the size of the inputs: it would
+    put all bins of two short tables into one task. So each bin is a square of ``pieces`` by ``pieces`` blocks (a row is copied
+    ``pieces`` times), and the blocks go to a fixed number of tasks, which are not merged again.
     """
-    held = points.where(F.col(x).isNotNull()).withColumn("_bin", bin_of(_number(points, x), width))
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    on = [*keys, "_bin", "_here", "_there"]
+    held = points.where(F.col(x).isNotNull()).withColumns({"_bin": bin_of(_number(points, x), width), "_here": _piece(points, pieces)})
     first, last = bin_of(_number(ranges, low), width), bin_of(_number(ranges, high), width)
-    spread = ranges.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(first, last)))
-    return held.join(spread, [*keys, "_bin"]).where(F.col(x).between(F.col(low), F.col(high))).drop("_bin")
+    spread = ranges.where(F.col(low) <= F.col(high)).withColumn("_there", _piece(ranges, pieces)).withColumn("_bin", F.explode(F.sequence(first, last)))
+    left = held.withColumn("_there", every).repartition(tasks, *on)
+    right = spread.withColumn("_here", every).repartition(tasks, *on)
+    return left.join(right, on).where(F.col(x).between(F.col(low), F.col(high))).drop("_bin", "_here", "_there")
 
 
 def range_count(

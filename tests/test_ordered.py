@@ -139,6 +139,15 @@ def test_range_join_and_count(spark):
             assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_the_pairs_of_a_range_join_are_spread(spark):
+    """Two short tables with very many pairs, all in one bin or over a few: no task makes most of them."""
+    points = spark.range(1500).select(F.col("id").alias("p"), (F.col("id") % 30).cast("double").alias("x")).coalesce(1)
+    spans = spark.range(1500).select(F.col("id").alias("r"), F.lit(0.0).alias("low"), (F.col("id") % 30).cast("double").alias("high")).coalesce(1)
+    for width, most in ((10, 0.2), (1000, 0.3)):
+        sizes = [r["count"] for r in R.range_join(points, spans, "x", "low", "high", width).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1500 * 1500 * 31 // 60 and max(sizes) < most * sum(sizes)
+
+
 @pytest.mark.parametrize("kind", ["one key", "instant"])
 def test_a_key_with_all_rows_is_spread(spark, kind):
     log = spark.createDataFrame(made(kind), SCHEMA)
