@@ -121,6 +121,17 @@ def test_next_end(log):
     assert {(r.k, r.started_at, r.ended_at, r.end_status) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_next_end_of_cut_events(spark):
+    """Events that bring their slices keep them, and starts are not collected into sets."""
+    at = [datetime(2024, 1, 1 + i, 10) for i in range(6)]
+    log = spark.createDataFrame([("x", t, s) for t, s in zip(at, ["a", "c", "a", "b", "a", "z"])] + [("x", at[1], "b")], "k string, at timestamp_ntz, s string").coalesce(1)
+    cut = log.withColumn("_slice", F.when(F.col("at") < at[2], 1).otherwise(2))
+    got = T.next_end(cut, "k", status="s", starts=("a",), ends=("c", "b"))
+    assert sorted((r.started_at, r.end_status or "", r.ended_at) for r in got.collect()) == [(at[0], "b", at[1]), (at[2], "b", at[3]), (at[4], "", None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "TakeOrdered" not in plan
+
+
 def test_range_join_and_count(spark):
     rng = random.Random(4)
     points = [(i, rng.choice(["a", "b", None]), rng.choice([None, 5.0, 5.0, rng.uniform(-50, 50)])) for i in range(300)]
