@@ -39,7 +39,7 @@ def winnow(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         less = g[j : j + m] < best  # ties keep the first, in every text alike
         best[less] = g[j : j + m][less]
         place[less] = np.flatnonzero(less) + j
-    kept = np.unique(place[doc[:m] == doc[n - 1 : n - 1 + m]])
+    kept = wd.distinct(place[doc[:m] == doc[n - 1 : n - 1 + m]])
     return kept, wd.mix(g[kept] + np.uint64(n))
 
 
@@ -62,6 +62,20 @@ def fingerprints(docs: DataFrame, lengths: list[int], keys: list[str]) -> DataFr
     return docs.select(*keys, "text").mapInArrow(find, schema)
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and n_words of each row; null has no words."""
+    schema = docs.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_words")).schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wd.chunks(batches):
+            texts = wd.texts_of(batch.column("text"))
+            doc = wd.spans(texts, wd.ALPHANUMERIC[texts.data])[2]
+            n = pa.array(np.bincount(doc, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n], names=["doc_id", "text_hash", "n_words"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(count, schema)
+
+
 def _hit_runs(doc: np.ndarray, item: np.ndarray, diagonals: list[int], window: int, hit: np.ndarray) -> bool:
     """Flag the words of ``doc`` in runs equal to ``item`` along the diagonals that hold a whole window; whether there is one."""
     need, found = min(window, len(item)), False
@@ -120,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     item_fps = [
         fingerprints(items.filter(F.least("n", F.lit(window)) == n).select("item", F.col("words").alias("text")), [n], ["item"]) for n in lengths
     ]
-    own = docs.select("doc_id", "text_hash", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    own = _sizes(docs)
     if not item_fps:
         none = F.lit(0).cast("long")
         return own.select("*", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))

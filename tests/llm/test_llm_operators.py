@@ -97,6 +97,16 @@ def test_contamination_equals_brute_force(spark, hard, empty):
     assert decontamination.contamination(empty, bench).count() == 0
 
 
+def test_contamination_counts_words_outside_the_jvm(spark, docs):
+    """Words are counted over bytes in a task's arrays, where a regular expression took most of the query's time."""
+    odd = spark.createDataFrame([(1, "Aé_b-9 \x7f\u20acx@Z[z`{"), (2, None), (3, ""), (4, "..."), (None, "a b")], "doc_id bigint, text string")
+    words = lambda t: len(re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode()))
+    for rows in (odd, docs):
+        own = decontamination._sizes(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
+        assert sorted((str(r["doc_id"]), r["n_words"]) for r in own.collect()) == sorted((str(r["doc_id"]), words(r["text"])) for r in rows.collect())
+        assert "regexp" not in own._jdf.queryExecution().toString()
+
+
 # 3 and 6
 
 
@@ -257,6 +267,12 @@ def test_toxicity_held_out(spark, hard, empty):
     assert toxicity.restore(["1d10t", "stuuupid", "m.o.r.o.n", "tr@sh"], model.bigrams)[1:] == ["stupid", "moron", "trash"]
 
 
+def test_distinct_values():
+    r = np.random.default_rng(2)
+    for x in (np.zeros(0, np.int64), np.array([4], np.int64), r.integers(-5, 5, 1000), r.integers(0, 2**60, 1000, dtype=np.uint64)):
+        assert wd.distinct(x).tolist() == sorted(set(x.tolist()))
+
+
 def test_disguises_are_restored(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
