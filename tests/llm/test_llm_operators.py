@@ -246,6 +246,28 @@ def test_attention_learns_what_tables_cannot():
     assert score(p) > plain + 1
 
 
+def test_attention_sees_far_back():
+    """An id's score depends on an id 30 places before the one before it, wherever its block begins."""
+    r = np.random.default_rng(6)
+    end = 3000
+    v = attention.vocabulary(r.integers(1, 50, end + 1).astype(float))
+    tables = attention.bigram_tables(r.integers(0, 3, (attention.KNOWN_IDS + 1, attention.LEAVES)).astype(float), v)
+    p = attention.start()
+    p["out"] = r.normal(size=p["out"].shape).astype(np.float32)
+    ids, doc = r.integers(0, end, 300).astype(np.int32), np.zeros(300, np.int64)
+    plain = attention.log_likelihood(p, tables, v, ids, doc)
+    for at in range(100, 132):
+        other = ids.copy()
+        other[at - 31] = np.argsort(v.known)[0] if v.known[other[at - 31]] else np.argsort(v.known)[1]
+        assert not np.allclose(attention.log_likelihood(p, tables, v, other, doc)[at], plain[at], rtol=0, atol=1e-6)
+
+
+def test_attention_of_encoded_texts(docs):
+    model = attention.learn(docs)
+    plain, own = (sorted(map(tuple, attention.score_texts(d, docs, model).collect()), key=str) for d in (docs, attention.encoded(docs)))
+    assert len(plain) == docs.count() and [x[:4] for x in plain] == [x[:4] for x in own] and np.allclose([x[4:] for x in plain], [x[4:] for x in own], atol=1e-3)
+
+
 def test_contexts_tell_two_ids_apart():
     v = attention.vocabulary(np.random.default_rng(1).integers(1, 900, 3001).astype(float))
     ids, doc = np.array([5, 7, 9, 7, 9, 9], np.int32), np.array([0, 0, 0, 1, 1, 1])
