@@ -25,3 +25,8 @@ def test_changes_meet_lines_before_names(spark, strict):
         assert not any(_joins(n.right()) for n in on_items)
     names = [n for _, on, n in _joins(_plan(spark, sales.sale_item_status_times, strict=strict)) if "_own_product" in on]
     assert names and all("sale_item_id" in str([on for _, on, _ in _joins(n.left())]) for n in names)
+
+
+def test_margin_reads_costs_and_designs_of_kept_lines(spark):
+    """Lines, costs and designs, beside factors, deliveries and receipts."""
+    assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, sales.sales_margin))) >= 9
