@@ -30,3 +30,8 @@ def test_changes_meet_lines_before_names(spark, strict):
 def test_margin_reads_costs_and_designs_of_kept_lines(spark):
     """Lines, costs and designs, beside factors, deliveries and receipts."""
     assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, sales.sales_margin))) >= 9
+
+
+def test_governance_reads_what_belongs_to_kept_lines(spark):
+    """Lines, moves, costs and designs, beside start days."""
+    assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, sales.purchase_governance))) >= 5
