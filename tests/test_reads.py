@@ -35,3 +35,8 @@ def test_margin_reads_costs_and_designs_of_kept_lines(spark):
 def test_governance_reads_what_belongs_to_kept_lines(spark):
     """Lines, moves, costs and designs, beside start days."""
     assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, sales.purchase_governance))) >= 5
+
+
+def test_orders_vs_finance_reads_shipments_of_kept_orders(spark):
+    """Shipments, and their items."""
+    assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, shipping.orders_vs_finance))) >= 2
