@@ -40,3 +40,8 @@ def test_governance_reads_what_belongs_to_kept_lines(spark):
 def test_orders_vs_finance_reads_shipments_of_kept_orders(spark):
     """Shipments, and their items."""
     assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, shipping.orders_vs_finance))) >= 2
+
+
+def test_detail_reads_shipments_of_kept_orders(spark):
+    """The shipments themselves, not only their items."""
+    assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, shipping.shipments_detail))) >= 8
