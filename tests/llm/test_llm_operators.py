@@ -268,6 +268,55 @@ def test_attention_of_encoded_texts(docs):
     assert len(plain) == docs.count() and [x[:4] for x in plain] == [x[:4] for x in own] and np.allclose([x[4:] for x in plain], [x[4:] for x in own], atol=1e-3)
 
 
+def test_attention_words_are_told_by_their_ids(hard, empty):
+    """Texts are neither written beside their ids nor read again for their words."""
+    ranks = open(attention.VOCABULARY, "rb").read()
+    assert attention.encoded(hard).columns == ["doc_id", "ids"]
+    texts = [r["text"] or "" for r in hard.collect()]
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t))]
+    found = {r["word"]: r["c"] for r in attention.word_counts(hard, ranks).collect()}
+    assert sorted(found.values()) == sorted(collections.Counter(words).values())
+    assert attention.word_counts(empty, ranks).count() == 0
+    ids, count = attention.tokenizer(ranks)([b"Ab", b"c\xc2\x85d", b"\xff"])
+    assert count.sum() == len(ids) and (attention.tokenizer(ranks)([b"ab"])[0] == ids[: count[0]]).all()
+
+
+def test_attention_slopes_and_limits():
+    """Scores are those of plain attention, also where products are cut off, and a step of training follows the slope."""
+    r = np.random.default_rng(8)
+    end, n = 3000, 90
+    v = attention.vocabulary(r.integers(1, 50, end + 1).astype(float))
+    tables = attention.bigram_tables(r.integers(0, 3, (attention.KNOWN_IDS + 1, attention.LEAVES)).astype(float), v)
+    ids, doc = r.choice(60, n).astype(np.int32), np.repeat([0, 1], [37, n - 37])
+
+    def plain(p):
+        before = attention._inputs(ids, doc, v)
+        q, k, x = (p["embed"][before].astype(float) @ p[name] for name in ("query", "key", "value"))
+        out = []
+        for i in range(n):
+            block = i // attention.BLOCK * attention.BLOCK
+            at = [j for j in range(max(0, block - attention.BLOCK), i + 1) if doc[j] == doc[i]]
+            w = np.exp([min(30, q[i] @ k[j] / 4 + p["place"][i - block, j - block + attention.BLOCK]) for j in at])
+            logits = np.minimum((w / w.sum()) @ x[at] @ p["out"] + tables.classes[attention._contexts(before, doc, v)[i]], 60)
+            leaf = v.leaf[ids[i]]
+            out.append(logits[v.klass[leaf]] - np.log(np.exp(logits).sum()) + tables.leaves[before[i], leaf] + v.within[ids[i]])
+        return np.array(out)
+
+    for scale in (1, 6):
+        p = {k: (r.normal(size=x) * 0.3 * scale).astype(np.float32) for k, x in attention.SHAPES.items()}
+        assert np.allclose(attention.log_likelihood(p, tables, v, ids, doc), plain(p), atol=2e-2 if scale > 1 else 1e-4)
+    p = {k: (r.normal(size=x) * 0.3).astype(np.float32) for k, x in attention.SHAPES.items()}
+    after = attention.train_local(p, tables, v, ids, doc, 1e-3)
+    for name in p:  # the first step of Adam is the rate times the sign of the slope
+        at = np.unravel_index(np.argmax(np.abs(after[name] - p[name])), p[name].shape)
+        if name == "embed":
+            at = (attention._inputs(ids, doc, v)[5], 3)
+        up, down = ({k: x.astype(float) for k, x in p.items()} for _ in range(2))
+        up[name][at] += 1e-4
+        down[name][at] -= 1e-4
+        assert np.sign(after[name][at] - p[name][at]) == np.sign(plain(up).mean() - plain(down).mean()), name
+
+
 def test_contexts_tell_two_ids_apart():
     v = attention.vocabulary(np.random.default_rng(1).integers(1, 900, 3001).astype(float))
     ids, doc = np.array([5, 7, 9, 7, 9, 9], np.int32), np.array([0, 0, 0, 1, 1, 1])
