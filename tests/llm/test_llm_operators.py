@@ -271,7 +271,7 @@ def test_attention_of_encoded_texts(docs):
 def test_attention_words_are_told_by_their_ids(hard, empty):
     """Texts are neither written beside their ids nor read again for their words."""
     ranks = open(attention.VOCABULARY, "rb").read()
-    assert attention.encoded(hard).columns == ["doc_id", "ids"]
+    assert attention.encoded(hard).columns == ["doc_id", "size", "ids"]
     texts = [r["text"] or "" for r in hard.collect()]
     words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t))]
     found = {r["word"]: r["c"] for r in attention.word_counts(hard, ranks).collect()}
