@@ -45,3 +45,20 @@ def test_orders_vs_finance_reads_shipments_of_kept_orders(spark):
 def test_detail_reads_shipments_of_kept_orders(spark):
     """The shipments themselves, not only their items."""
     assert sum(kind == "LeftSemi" for kind, _, _ in _joins(_plan(spark, shipping.shipments_detail))) >= 8
+
+
+def _read_under(node, name, path=()):
+    """For each scan that has the column ``name``: what the nearest grouping or join above it is."""
+    kids = node.children()
+    if not kids.size():
+        return [path[-1] if path else ""] if f"{name}#" in node.output().mkString(",") else []
+    kind = node.joinType().toString() if node.nodeName() == "Join" else node.nodeName()
+    here = (*path, kind) if kind == "Aggregate" or node.nodeName() == "Join" else path
+    return [k for i in range(kids.size()) for k in _read_under(kids.apply(i), name, here)]
+
+
+@pytest.mark.parametrize("report", [sales.purchase_governance])
+def test_lines_of_other_orders_are_dropped_before_they_are_grouped(spark, report):
+    """Of every scan of the lines, and of the order's status changes, none is grouped or sent on unfiltered."""
+    found = _read_under(_plan(spark, report), "l_linenumber")
+    assert len(found) >= 8 and set(found) == {"LeftSemi"}
