@@ -57,7 +57,7 @@ def _read_under(node, name, path=()):
     return [k for i in range(kids.size()) for k in _read_under(kids.apply(i), name, here)]
 
 
-@pytest.mark.parametrize("report", [sales.purchase_governance])
+@pytest.mark.parametrize("report", [sales.sales_margin, sales.purchase_governance])
 def test_lines_of_other_orders_are_dropped_before_they_are_grouped(spark, report):
     """Of every scan of the lines, and of the order's status changes, none is grouped or sent on unfiltered."""
     found = _read_under(_plan(spark, report), "l_linenumber")
